@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from textloom.llm import exact_dedup
+from textloom.llm import exact_dedup, html_extract, language_id, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op7_language_id": language_id.op7_language_id,
+    "op9_warc": warc.op9_warc,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op9_warc": warc.ORACLE,
 }
