@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from textloom.plans import corpus, evaluation, sequences
+from textloom.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "corpus", "evaluation", "sequences"]
