@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from textloom.llm import work
 
@@ -165,10 +166,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return digests.join(found, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def _add_digest(name: str):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            digests = [hashlib.sha256(normalise(x)).hexdigest() for x in work.utf8(part.column(name))]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digests, pa.string())], names=[*part.schema.names, "__sha256"])
+
+    return run
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns: the first of each group of equal texts."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep"))
-    return docs.join(kept.distinct(), F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    """The documents that stay, with all their columns: those with the smallest id of each group of equal texts."""
+    index, _ = build_index(docs, id_col, text_col)
+    hashed = docs.mapInArrow(_add_digest(text_col), StructType([*docs.schema.fields, StructField("__sha256", StringType())]))
+    kept = index.select(F.col("text_sha256").alias("__key"), F.col("keep_id").alias("__keep"))
+    same = F.col("__sha256") == F.col("__key")
+    return hashed.join(kept, same & F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
