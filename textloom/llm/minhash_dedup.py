@@ -173,7 +173,7 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     reps = sketched.join(classes, (F.col("doc_id") == F.col("rep")) & (sketched["class"] == classes["class"]), "left_semi")
     found = families(reps.select("doc_id", "bands"))
     sizes = found.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    members = found.join(sizes, "family")
+    members = found.join(sizes, "family").hint("merge")  # as many rows as near copies: no bound to broadcast them by
     # one row a class: of rows that share its words, the one with its id
     texts, text_path = work.keep(own.join(members, F.col("doc_id") == F.col("id")).select("id", "family", "size", "text").dropDuplicates(["id", "text"]), "family-texts")
     whole = texts.where(F.col("size") <= BLOCK).select(F.col("family").alias("task"), "id", F.col("id").alias("comp"), F.lit(True).alias("left"), "text")
@@ -219,7 +219,7 @@ def _large(texts: DataFrame, n: int, words: int, percent: int) -> DataFrame:
 def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that stay, with all their columns: the one with the smallest id of each component; rows without id stay."""
     gone = near_components(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone.distinct().hint("merge"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
 
 def op4_minhash_dedup(spark, sf_dir: str) -> DataFrame:
