@@ -18,7 +18,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.8
+#: Least Dice coefficient, in percent: sizes are compared as whole numbers.
+PERCENT = 80
 
 #: Short notices and permission texts of public licences, (SPDX identifier, template).
 TEMPLATES = [
@@ -60,9 +61,9 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})  # noqa: B905, RUF007
 
 
-def bounds(size: int, threshold: float) -> tuple[float, float]:
+def bounds(size: int, percent: int) -> tuple[int, int]:
     """The sizes that a set may have to reach the threshold with one of ``size``."""
-    return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
+    return -(-size * percent // (200 - percent)), size * (200 - percent) // percent
 
 
 def _words(unit: Column) -> Column:
@@ -74,13 +75,13 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(pairs)
 
 
-def scan(docs: DataFrame, templates=None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates=None, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each unit that matches: doc_id, unit (0: the whole text, else the line's number), license, template (its place in the list), dice, restricted."""
     table = [(i, name, bigrams_of(t)) for i, (name, t) in enumerate(TEMPLATES if templates is None else templates)]
     table = [x for x in table if x[2]]
-    lows, highs = zip(*(bounds(len(b), threshold) for _, _, b in table), strict=True)
+    lows, highs = zip(*(bounds(len(b), percent) for _, _, b in table), strict=True)
     known = sorted({g for _, _, b in table for g in b})
-    shared = min(len(b) * threshold / (2 - threshold) for _, _, b in table)  # the least that a match has in common with its template
+    shared = min(-(-percent * (low + len(b)) // 200) for (_, _, b), low in zip(table, lows, strict=True))  # the least that a match has in common with its template
     held = lambda c: F.explode(F.array(c))  # noqa: E731  a projection that later filters do not repeat
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n", -1)
@@ -96,7 +97,7 @@ def scan(docs: DataFrame, templates=None, threshold: float = THRESHOLD, id_col:
         return F.when(F.col("n").between(low, high), 2 * both / (F.col("n") + len(own))).otherwise(F.lit(0.0))
 
     scores = [F.struct(dice(lo, hi, b).alias("dice"), F.lit(-i).alias("place"), F.lit(name).alias("license")) for (i, name, b), lo, hi in zip(table, lows, highs, strict=True)]
-    found = found.select("doc_id", "unit", held(F.greatest(*scores) if len(scores) > 1 else scores[0]).alias("best")).where(F.col("best.dice") >= threshold)
+    found = found.select("doc_id", "unit", held(F.greatest(*scores) if len(scores) > 1 else scores[0]).alias("best")).where(F.col("best.dice") * 100 >= percent)
     return found.select("doc_id", F.col("unit").cast("long").alias("unit"), F.col("best.license").alias("license"), (-F.col("best.place")).cast("long").alias("template"), F.round("best.dice", 6).alias("dice"), F.col("best.license").isin(RESTRICTED).alias("restricted"))
 
 
@@ -123,11 +124,11 @@ WITH templates(place, license, words) AS (VALUES
   SELECT doc_id, unit, {grams.format("words")} AS grams FROM w WHERE len(words) > 1
 ), d AS (
   SELECT doc_id, unit, place, license, 2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
-  FROM g JOIN t ON len(g.grams) * (2 - {THRESHOLD}) >= len(t.grams) * {THRESHOLD} AND len(g.grams) * {THRESHOLD} <= len(t.grams) * (2 - {THRESHOLD})
+  FROM g JOIN t ON len(g.grams) * {200 - PERCENT} >= len(t.grams) * {PERCENT} AND len(g.grams) * {PERCENT} <= len(t.grams) * {200 - PERCENT}
 )
 SELECT doc_id, CAST(unit AS BIGINT) AS unit, license, CAST(place AS BIGINT) AS template, round(dice, 6) AS dice,
        license IN ({", ".join(f"'{x}'" for x in RESTRICTED)}) AS restricted
-FROM d WHERE dice >= {THRESHOLD}
+FROM d WHERE dice * 100 >= {PERCENT}
 QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, place) = 1
 """
 
