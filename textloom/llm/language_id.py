@@ -103,7 +103,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
         for o, g in enumerate(grams(t)):
             counts[o, langs.index(lang)] += np.bincount(g, minlength=1 << BITS)
     shares = counts / np.maximum(counts.sum(2, keepdims=True), 1)  # languages count alike, however much text each has
-    floor = SMOOTH / np.maximum(counts.sum(2).max(1), 1)
+    floor = SMOOTH / np.maximum(counts.sum(2).max(1, initial=0), 1)
     weights = np.zeros((len(ORDERS), 1 << BITS, code.shape[1]), np.float32)
     for b in range(code.shape[1]):
         yes, no = code[:, b] > 0, code[:, b] < 0
