@@ -34,8 +34,8 @@ from textloom.llm import shingles, work
 LENGTH = 100
 #: Bytes of a gram; a string of LENGTH bytes has LENGTH - GRAM + 1 of them.
 GRAM = 32
-#: Bytes of text that a task turns to runs at once; positions in it take 23 bits of a packed number.
-FLUSH_BYTES = 6 << 20
+#: Bytes of text that a task turns to runs at once, about 80 times that in memory; positions in it take 24 bits of a packed number.
+FLUSH_BYTES = 3 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 #: Bytes of distinct segments that are sorted at once; segments of one anchor stay together.
 SORT_BYTES = 2 << 20
@@ -63,11 +63,27 @@ def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def shard_of(anchors: np.ndarray, n: int) -> np.ndarray:
-    return ((anchors >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    """Anchors are least hashes, so small ones are the most: they are mixed again."""
+    return bucket_of(anchors.view(np.int64), n)
 
 
-def runs_of(docs: list[tuple[int, int, bytes]], length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """The runs of documents (id, text hash, text) that hold less than 16 MB together, or of one document."""
+def chunks(docs: list[tuple[int, int, bytes]], size: int = FLUSH_BYTES, length: int = LENGTH) -> Iterator[list[tuple[int, int, bytes, int]]]:
+    """Documents in lists of about ``size`` bytes, with the place where each piece begins; longer ones in pieces that share no start of a string."""
+    held, total = [], 0
+    for doc, tag, text in docs:
+        for at in range(0, max(1, len(text) - length + 1), size):
+            piece = text[at : at + size + length - 1]
+            if held and total + len(piece) > size + length:
+                yield held
+                held, total = [], 0
+            held.append((doc, tag, piece, at))
+            total += len(piece)
+    if held:
+        yield held
+
+
+def runs_of(docs: list[tuple[int, int, bytes, int]], length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """The runs of pieces of documents (id, text hash, bytes, place in the text) that hold less than 16 MB together."""
     docs = [d for d in docs if len(d[2]) >= length]
     if not docs:
         return np.zeros(0, RUN)
@@ -99,7 +115,7 @@ def runs_of(docs: list[tuple[int, int, bytes]], length: int = LENGTH, gram: int
     out["anchor"] = h[anchor[starts]]
     out["doc"] = np.array([d[0] for d in docs], np.int64)[own]
     out["tag"] = np.array([d[1] for d in docs], np.uint64)[own]
-    out["start"] = starts - begin[own]
+    out["start"] = starts - begin[own] + np.array([d[3] for d in docs], np.int64)[own]
     out["n"] = ends - starts
     return out
 
@@ -142,7 +158,8 @@ def _anchors(n: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for docs in _batched(parts):
-                found = runs_of(list(dict(((d[0], d[1]), d) for d in docs).values()))
+                own = {(d[0], d[1]): d for d in docs}
+                found = np.concatenate([np.zeros(0, RUN), *(runs_of(part) for part in chunks(list(own.values())))])
                 if not len(found):
                     continue
                 _, at, back, count = np.unique(found["anchor"], return_index=True, return_inverse=True, return_counts=True)
