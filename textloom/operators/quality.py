@@ -76,6 +76,11 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     })
 
 
+def observed(df: DataFrame, name: str = "quality") -> DataFrame:
+    """The rows, with counts of rows and of passed rows reported as the plan runs, in batch and in streams."""
+    return df.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("reason") == "passed").alias("passed"))
+
+
 METRICS_SQL = f"""
 SELECT *, list_filter(string_split_regex(t, '[ \\t\\n\\r]+'), lambda w: w <> '') AS ws, nullif(length(t), 0) AS n FROM (SELECT *, coalesce(text, '') AS t FROM documents)
 """, f"""

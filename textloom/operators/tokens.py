@@ -126,27 +126,16 @@ def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({PRETOKEN})"), F.lit(1))
 
 
-def train_bpe(docs: DataFrame, text: str, merges: int, least: int = 2) -> list[tuple[str, str]]:
-    """The first merges of byte-pair encoding over a corpus.
+def pretoken_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n) over a corpus: what a tokenizer's statistics start from."""
+    return docs.select(F.explode(pretokens(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
-    Words are counted once; a round counts neighbouring pairs of the distinct words, takes the most frequent (ties: the smallest) and merges it. Only the pair
-    reaches the driver.
+
+def pair_counts(words: DataFrame) -> DataFrame:
+    """(a, b, n): neighbouring characters of the words, counted with the words' own counts.
+
+    Tokenizers are taken as they are and not trained here, so no merge is applied.
     """
-    from textloom.sources import tables
-
-    counts = docs.select(F.explode(pretokens(F.col(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    words = tables.checkpointed(counts.select(F.filter(F.split("w", ""), lambda c: c != "").alias("s"), "n"))
-    found = []
-    for _ in range(merges):
-        pairs = words.where(F.size("s") > 1).select(F.explode(F.zip_with(F.slice("s", F.lit(1), F.size("s") - 1), F.slice("s", F.lit(2), F.size("s") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"), "n")
-        best = pairs.groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "p.a", "p.b").limit(1).collect()
-        if not best:
-            break
-        a, b = best[0].p
-        found.append((a, b))
-        merge = F.aggregate(
-            "s", F.expr("cast(array() as array<string>)"),
-            lambda acc, x: F.when((x == b) & (F.try_element_at(acc, F.lit(-1)) == a), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.lit(a + b)))).otherwise(F.concat(acc, F.array(x))),
-        )
-        words = tables.checkpointed(words.select(merge.alias("s"), "n"))
-    return found
+    chars = words.select(F.filter(F.split("word", ""), lambda c: c != "").alias("s"), "n").where(F.size("s") > 1)
+    pairs = F.zip_with(F.slice("s", F.lit(1), F.size("s") - 1), F.slice("s", F.lit(2), F.size("s") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return chars.select(F.explode(pairs).alias("p"), "n").groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))

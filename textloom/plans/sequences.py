@@ -147,7 +147,7 @@ def response_check(spark, sf_dir):
 
 
 _MARK = "CASE doc_id % 5 WHEN 0 THEN '12. ' WHEN 1 THEN '三、' WHEN 2 THEN '• ' WHEN 3 THEN '7）\"' ELSE '' END || split_part(text, chr(10), 1)"
-_BARE = f"regexp_replace(regexp_replace(regexp_replace({_STRIP(_MARK)}, '^\\p{{Nd}}+[.)）、]{T.SQL_WS}*', ''), '^[一二三四五六七八九十]+[、.)]{T.SQL_WS}*', ''), '^[•\\-*]{T.SQL_WS}*', '')"
+_BARE = f"regexp_replace(regexp_replace(regexp_replace({_STRIP(_MARK)}, '^\p{{Nd}}+[.)）、]{T.SQL_WS}*', ''), '^[一二三四五六七八九十]+[、.)]{T.SQL_WS}*', ''), '^[•\\-*]{T.SQL_WS}*', '')"
 
 
 @query(f"""SELECT doc_id, CASE WHEN length(bare) >= 5 AND length(line) >= 5 THEN line END AS line FROM (SELECT doc_id, bare, {_STRIP("trim(bare, chr(34) || chr(39))")} AS line FROM (SELECT doc_id, {_STRIP(_BARE)} AS bare FROM documents))""")
@@ -157,13 +157,18 @@ def strip_numbering(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", clean.prompt_line(F.concat(mark, F.substring_index("text", "\n", 1))).alias("line"))
 
 
-def bpe_merges(spark, sf_dir):
-    """The first merges of byte-pair encoding over the conversations."""
-    found = tokens.train_bpe(table(spark, sf_dir, "conversations"), "text", 5)
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(found)], "rank int, a string, b string")
+_PRETOKENS = r"SELECT unnest(regexp_extract_all(text, '''(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+')) AS word FROM conversations"
 
 
-query()(bpe_merges)
+@query(f"SELECT word, count(*) AS n FROM ({_PRETOKENS}) GROUP BY 1")
+def pretoken_counts(spark, sf_dir):
+    return tokens.pretoken_counts(table(spark, sf_dir, "conversations"))
+
+
+@query(f"""SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM (SELECT substr(word, CAST(i AS INT), 1) AS a, substr(word, CAST(i AS INT) + 1, 1) AS b, n
+FROM (SELECT word, n, unnest(range(1, length(word))) AS i FROM (SELECT word, count(*) AS n FROM ({_PRETOKENS}) GROUP BY 1))) GROUP BY 1, 2""")
+def pair_counts(spark, sf_dir):
+    return tokens.pair_counts(pretoken_counts(spark, sf_dir))
 
 
 @query("""SELECT doc_id, CAST(n AS BIGINT) AS place FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('43:' || doc_id)) AS n FROM documents)""")

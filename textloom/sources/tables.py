@@ -1,4 +1,4 @@
-"""Table scans and lineage cuts."""
+"""Table scans and the shared folder."""
 
 from __future__ import annotations
 
@@ -11,15 +11,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder of ``spark.checkpoint.dir``; sets a folder only where there is none."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
-    return df.checkpoint()
-
-
 def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; set only where there is none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
