@@ -10,6 +10,8 @@ suffix array, so they are dealt out by content first:
    first are repeats as a whole.
 4. A shard sorts the suffixes of its distinct segments by bucket-pointer refinement, to the depth ``LENGTH``: buckets of the first 8 bytes, refined by sorting on the
    buckets of later offsets, 8, 16, 32 and 36 on, each round reusing the last one's updates. Starts in one bucket are equal strings, compared in full.
+   An anchor of more than ``HOT_RUNS`` runs (a passage that very many documents share, each in its own context) would gather them in one shard: its runs are dealt as single
+   strings instead, by a hash of all their bytes. At most ``MOST_HOT`` anchors are treated so; beyond that the number of runs is raised.
 5. All starts of a bucket but the first in order are repeats; their bytes are removed document by document.
 
 Order: by id, then by start. Cases: null text counts as empty; texts shorter than ``LENGTH`` lose nothing; rows without id come last; of rows that share an id and differ in text
@@ -39,6 +41,9 @@ FLUSH_BYTES = 3 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 #: Bytes of distinct segments that are sorted at once; segments of one anchor stay together.
 SORT_BYTES = 2 << 20
+#: Runs of an anchor from which they are dealt as single strings, and the bytes of the list of such anchors that goes to the tasks.
+HOT_RUNS = 10_000
+MOST_HOT = 1_000_000
 NO_ID = np.iinfo(np.int64).max
 
 _BLOB = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("blob", pa.binary())])
@@ -120,12 +125,12 @@ def runs_of(docs: list[tuple[int, int, bytes, int]], length: int = LENGTH, gram:
     return out
 
 
-def _batched(parts: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Documents by about FLUSH_BYTES; a longer one is a batch of its own."""
+def _batched(parts: Iterator[pa.RecordBatch], flush: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Documents by about ``flush`` bytes; a longer one is a batch of its own."""
     held, size = [], 0
     for part in parts:
         for doc_id, text in zip(part.column(0).to_pylist(), work.utf8(part.column(1)), strict=True):
-            if held and size + len(text) > FLUSH_BYTES:
+            if held and size + len(text) > flush:
                 yield held
                 held, size = [], 0
             held.append((NO_ID if doc_id is None else doc_id, xxhash.xxh3_64_intdigest(text), text))
@@ -152,19 +157,20 @@ def _rows(parts: tuple, dtype=RUN) -> np.ndarray:
     return out
 
 
-def _anchors(n: int):
-    """Runs of each batch of documents. One whose anchor the batch repeats is known to go on (``known``, by document); its anchor is told once (``told``), others are asked about (``once``), by anchor."""
+def _anchors(n: int, flush: int):
+    """Runs of each batch of documents. One whose anchor the batch repeats is known to go on (``known``, by document); its anchor is told once with the number (``told``), others are asked about (``once``), by anchor."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for docs in _batched(parts):
+            for docs in _batched(parts, flush):
                 own = {(d[0], d[1]): d for d in docs}
-                found = np.concatenate([np.zeros(0, RUN), *(runs_of(part) for part in chunks(list(own.values())))])
+                found = np.concatenate([np.zeros(0, RUN), *(runs_of(part) for part in chunks(list(own.values()), flush))])
                 if not len(found):
                     continue
                 _, at, back, count = np.unique(found["anchor"], return_index=True, return_inverse=True, return_counts=True)
                 again = count[back] > 1
                 known, once, told = found[again], found[~again], found[at[count > 1]]
+                told["n"] = count[count > 1]
                 yield from _split("known", known, bucket_of(known["doc"], n))
                 yield from _split("once", once, shard_of(once["anchor"], n))
                 yield from _split("told", told, shard_of(told["anchor"], n))
@@ -174,8 +180,8 @@ def _anchors(n: int):
     return run
 
 
-def _repeated(n: int):
-    """Of the runs asked about, those whose anchor came twice, by document."""
+def _repeated(n: int, hot: int):
+    """Of the runs asked about, those whose anchor came twice, by document; and the anchors of more than ``hot`` runs."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -184,20 +190,20 @@ def _repeated(n: int):
                 for kind, bucket, blob in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if kind == "known":
                         yield "runs", bucket, blob
-                    elif kind == "told":
-                        told.append(np.unique(load(blob)[0]))
                     else:
-                        once.append(_rows(load(blob)))
-            if not once:
-                return
-            asked = np.concatenate(once)
+                        (told if kind == "told" else once).append(_rows(load(blob)))
+            asked, told = (np.concatenate([np.zeros(0, RUN), *x]) for x in (once, told))
+            anchors, back = np.unique(np.concatenate((asked["anchor"], told["anchor"])), return_inverse=True)
+            counts = np.bincount(back, np.concatenate((np.ones(len(asked)), told["n"])), len(anchors)).astype(np.int64)
+            if (counts > hot).any():
+                yield "hot", 0, dump(anchors[counts > hot], counts[counts > hot])
+            told = np.unique(told["anchor"])
             order = np.argsort(asked["anchor"], kind="stable")
             asked = asked[order]
             a = asked["anchor"]
             same = a[1:] == a[:-1]
-            again = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            if told:
-                again |= np.isin(a, np.concatenate(told))
+            again = (np.concatenate((same, [False])) | np.concatenate(([False], same)))[: len(a)]
+            again |= np.isin(a, told)
             asked = asked[again]
             yield from _split("runs", asked, bucket_of(asked["doc"], n))
 
@@ -206,12 +212,37 @@ def _repeated(n: int):
     return run
 
 
-def _texts(n: int):
+def _over(least: int):
+    """Of the packed hot anchors, those of more than ``least`` runs."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for part in parts:
+                for blob in part.column("blob").to_pylist():
+                    anchors, counts = load(blob)
+                    if (counts > least).any():
+                        yield "hot", 0, dump(anchors[counts > least], counts[counts > least])
+
+        yield from work.batches(_BLOB, rows())
+
+    return run
+
+
+def hot_anchors(runs: DataFrame, least: int, most: int = MOST_HOT) -> np.ndarray:
+    """The anchors of more than ``least`` runs, or of more than so many times 4, 16, .. that their list is small."""
+    found = runs.where("kind = 'hot'")
+    while (found.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) > 8 * most:
+        least *= 4
+        found = runs.where("kind = 'hot'").mapInArrow(_over(least), _BLOB_DDL)
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(load(bytes(r.blob))[0] for r in found.select("blob").collect())]))
+
+
+def _texts(n: int, flush: int):
     """Documents by bucket, packed."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for docs in _batched(parts):
+            for docs in _batched(parts, flush):
                 place = bucket_of(np.array([d[0] for d in docs], np.int64), n)
                 for b in np.unique(place):
                     yield "texts", int(b), dump([docs[i] for i in np.flatnonzero(place == b)])
@@ -229,7 +260,17 @@ def _collected(parts: Iterator[pa.RecordBatch]) -> dict[str, list[bytes]]:
     return found
 
 
-def _segments(n: int):
+def single(runs: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs with those of ``which`` taken apart into their strings; these have the anchor 0 for now."""
+    part = runs[which]
+    size = part["n"].astype(np.int64)
+    out = np.repeat(part, size)
+    out["start"] += (np.arange(len(out)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint32)
+    out["n"], out["anchor"] = 1, 0
+    return np.concatenate((runs[~which], out))
+
+
+def _segments(n: int, shared):
     """A bucket's documents and runs: segments by anchor, what the bucket itself repeats, and the documents that may lose bytes."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +282,7 @@ def _segments(n: int):
                 for doc, tag, text in load(blob)[0]:
                     docs.setdefault((doc, tag), [text, 0])[1] += 1
             runs = np.concatenate([np.zeros(0, RUN), *(_rows(load(b)) for b in found.pop("runs", []))])
+            runs = single(runs, np.isin(runs["anchor"], shared.value))
             runs = runs[np.lexsort((runs["start"], runs["tag"], runs["doc"]))]
             runs = runs[np.concatenate(([True], runs[1:] != runs[:-1]))[: len(runs)]]  # of rows that share id and text
             seen: set[bytes] = set()
@@ -248,8 +290,10 @@ def _segments(n: int):
             segments: list[bytes] = []
             repeat = np.zeros(len(runs), bool)
             touched = set()
-            for i, (_, doc, tag, start, size) in enumerate(runs.tolist()):
+            for i, (anchor, doc, tag, start, size) in enumerate(runs.tolist()):
                 segment = docs[doc, tag][0][start : start + size + LENGTH - 1]
+                if not anchor:
+                    runs["anchor"][i] = xxhash.xxh3_64_intdigest(segment)
                 touched.add((doc, tag))
                 if segment in seen:
                     repeat[i] = True
@@ -333,7 +377,7 @@ def repeats(runs: np.ndarray, segments: list[bytes]) -> np.ndarray:
     return out
 
 
-def _sorted(n: int):
+def _sorted(n: int, most: int):
     """A shard's segments: the runs that start earlier, by document."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +400,7 @@ def _sorted(n: int):
             last = None
             for i, (anchor, at) in enumerate(zip(table["anchor"].tolist(), order.tolist(), strict=True)):
                 if anchor != last:
-                    if size > SORT_BYTES:
+                    if size > most:
                         yield from emit(table[held], texts)
                         held, texts, size = [], [], 0
                     last, seen = anchor, set()
@@ -419,20 +463,22 @@ def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from work.batches(_OUT, rows())
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", flush: int = FLUSH_BYTES, sort: int = SORT_BYTES, hot: int = HOT_RUNS) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
     work.prepare(spark)
     n = work.buckets(docs)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), work.text_of(text_col).alias("text"))
-    runs, run_path = work.keep(own.mapInArrow(_anchors(n), _BLOB_DDL).repartitionById(n, "bucket").mapInArrow(_repeated(n), _BLOB_DDL), "suffix-runs")
+    runs, run_path = work.keep(own.mapInArrow(_anchors(n, flush), _BLOB_DDL).repartitionById(n, "bucket").mapInArrow(_repeated(n, hot), _BLOB_DDL), "suffix-runs")
     work.release(spark)
-    dealt = own.mapInArrow(_texts(n), _BLOB_DDL).unionByName(runs).repartitionById(n, "bucket")
-    parts, _ = work.keep(dealt.mapInArrow(_segments(n), _BLOB_DDL), "suffix-segments")
+    shared = spark.sparkContext.broadcast(hot_anchors(runs, hot))
+    # no step's frame is held by a name, so that its shuffle files can go before the next step writes its own
+    path = work.keep_by(own.mapInArrow(_texts(n, flush), _BLOB_DDL).unionByName(runs.where("kind = 'runs'")).repartitionById(n, "bucket").mapInArrow(_segments(n, shared), _BLOB_DDL), "suffix-parts", "kind")
     work.release(spark, run_path)
-    gone, _ = work.keep(parts.where("kind = 'segments'").repartitionById(n, "bucket").mapInArrow(_sorted(n), _BLOB_DDL), "suffix-gone")
-    work.release(spark)
-    return parts.where("kind <> 'segments'").unionByName(gone).repartitionById(n, "bucket").mapInArrow(_cut, _OUT_DDL)
+    parts = lambda: spark.read.schema(_BLOB_DDL).parquet(path).select("kind", "bucket", "blob")
+    gone, _ = work.keep(parts().where("kind = 'segments'").repartitionById(n, "bucket").mapInArrow(_sorted(n, sort), _BLOB_DDL), "suffix-gone")
+    work.release(spark, f"{path}/kind=segments")
+    return parts().unionByName(gone).repartitionById(n, "bucket").mapInArrow(_cut, _OUT_DDL)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

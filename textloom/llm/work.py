@@ -47,6 +47,13 @@ def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def keep_by(df: DataFrame, name: str, column: str) -> str:
+    """Writes ``df`` to the shared folder, a subfolder for each value of ``column``; returns the path."""
+    path = work_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+    return path
+
+
 def release(spark: SparkSession, *paths: str) -> None:
     """Deletes work tables that no later step reads and lets Spark drop the shuffle files of finished jobs."""
     jvm = spark.sparkContext._jvm
