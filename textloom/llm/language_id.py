@@ -126,8 +126,14 @@ def held_out(column: str = "doc_id"):
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fits a model on the rows that are not held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    # a hash keeps about three times the sample of each language, so that what is ranked does not grow with the input
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    if not counts:
+        return fit([])
+    least = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, math.ceil(min(1.0, 3 * sample_docs / n) * (1 << 30)))))
+    near = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.element_at(least, F.col("lang")))
     drawn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang", F.row_number().over(drawn).alias("place")).where(F.col("place") <= sample_docs)
+    ids = near.select("doc_id", "lang", F.row_number().over(drawn).alias("place")).where(F.col("place") <= sample_docs)
     chosen = [r.doc_id for r in ids.select("doc_id").distinct().collect()]  # at most sample_docs for each language
     return fit([(r.lang, r.text) for r in rows.where(F.col("doc_id").isin(chosen)).select("lang", "text").collect()] if chosen else [])
 
