@@ -125,11 +125,9 @@ def suffix_brute(rows):
     return out
 
 
-@pytest.mark.parametrize(("flush", "sort"), [(3 << 19, 2 << 20), (500, 300)])
-def test_remove_repeats(docs, rows, monkeypatch, flush, sort):
-    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", sort)
-    monkeypatch.setattr(suffix_dedup, "FLUSH_BYTES", flush)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
+@pytest.mark.parametrize(("flush", "sort", "hot"), [(3 << 19, 2 << 20, 10_000), (500, 300, 3), (20_000, 2 << 20, 1)])
+def test_remove_repeats(docs, rows, flush, sort, hot):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, flush=flush, sort=sort, hot=hot).collect()}
     want = suffix_brute(rows)
     assert got == want
     assert sum(x[1] for x in want.values()) > 1000
@@ -143,6 +141,14 @@ def test_remove_repeats_edges(spark, empty):
     assert got == [(1, 180, 0), (1, 180, 0), (7, 0, 0), (None, 180, 180)]
 
 
+def test_hot_anchors_fit_a_bound(spark):
+    blobs = [("hot", 0, suffix_dedup.dump(np.arange(400 * i, 400 * i + 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(400) + 10)) for i in range(5)]
+    runs = spark.createDataFrame(blobs, "kind string, bucket int, blob binary")
+    assert len(suffix_dedup.hot_anchors(runs, 9)) == 2000
+    few = suffix_dedup.hot_anchors(runs, 9, most=2000)
+    assert 0 < len(few) < 2000 and list(few) == sorted(few)
+
+
 def test_refine_sorts_suffixes():
     data = np.frombuffer(b"banana" * 30 + b"bandana" * 20 + bytes(range(97, 120)) * 9, np.uint8)
     text = data.tobytes()
