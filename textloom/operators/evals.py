@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 
-# Words that score an answer's persona.
-PERSONA = {"warmth": ["~", "...", "别担心", "陪你", "嗯"], "identity": ["小曦", "星辰曦"], "disclaimer": ["免责", "仅供参考", "建议咨询", "请咨询医生"]}
+# Words that score an answer's persona; the words of its identity are the assistant's own names, a parameter.
+WARMTH = ["~", "...", "别担心", "陪你", "嗯"]
+DISCLAIMER = ["免责", "仅供参考", "建议咨询", "请咨询医生"]
+
+
+def persona(names: list[str]) -> dict[str, list[str]]:
+    """The criteria with their words."""
+    return {"warmth": WARMTH, "identity": names, "disclaimer": DISCLAIMER}
 
 
 def choice_of(answer: Column) -> Column:
@@ -46,10 +52,10 @@ def any_of(c: Column, pieces: list[str]) -> Column:
     return out
 
 
-def persona_scores(answers: DataFrame, tracks: list[str]) -> DataFrame:
+def persona_scores(answers: DataFrame, tracks: list[str], names: list[str]) -> DataFrame:
     """(track, criterion, score) over a table with an answer column for each track; one scan."""
     n = F.count(F.lit(1))
-    scores = [F.struct(F.lit(t).alias("track"), F.lit(k).alias("criterion"), F.round(F.count_if(any_of(F.col(t), words)) / n, 3).alias("score")) for t in tracks for k, words in PERSONA.items()]
+    scores = [F.struct(F.lit(t).alias("track"), F.lit(k).alias("criterion"), F.round(F.count_if(any_of(F.col(t), words)) / n, 3).alias("score")) for t in tracks for k, words in persona(names).items()]
     return answers.agg(F.array(*scores).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 

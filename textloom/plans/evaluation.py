@@ -43,19 +43,20 @@ def choice_prompts(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", evals.choice_prompt(F.col("text"), options).alias("prompt"))
 
 
+NAMES = ["Nova"]
 _PERSONA = " UNION ALL ".join(
     f"SELECT '{t}' AS track, '{k}' AS criterion, round(count(*) FILTER ({' OR '.join(f'contains({t}, {chr(39)}{w}{chr(39)})' for w in words)}) / count(*), 3) AS score FROM s"
-    for t in ("a", "b") for k, words in evals.PERSONA.items()
+    for t in ("a", "b") for k, words in evals.persona(NAMES).items()
 )
-_SAMPLES = "SELECT CASE WHEN role = 'user' THEN '~ ' || coalesce(text, '') ELSE '小曦: 仅供参考' END AS a, CASE WHEN turn % 2 = 0 THEN '陪你...' ELSE coalesce(text, '') END AS b FROM conversations"
+_SAMPLES = "SELECT CASE WHEN role = 'user' THEN '~ ' || coalesce(text, '') ELSE 'Nova: 仅供参考' END AS a, CASE WHEN turn % 2 = 0 THEN '陪你...' ELSE coalesce(text, '') END AS b FROM conversations"
 
 
 @query(f"WITH s AS ({_SAMPLES}) {_PERSONA}")
 def persona_scores(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
-    a = F.when(F.col("role") == "user", F.concat(F.lit("~ "), F.coalesce("text", F.lit("")))).otherwise("小曦: 仅供参考")
+    a = F.when(F.col("role") == "user", F.concat(F.lit("~ "), F.coalesce("text", F.lit("")))).otherwise("Nova: 仅供参考")
     b = F.when(F.col("turn") % 2 == 0, "陪你...").otherwise(F.coalesce("text", F.lit("")))
-    return evals.persona_scores(rows.select(a.alias("a"), b.alias("b")), ["a", "b"])
+    return evals.persona_scores(rows.select(a.alias("a"), b.alias("b")), ["a", "b"], NAMES)
 
 
 @query("""SELECT event_type, round(avg(v), 3) AS avg_latency_sec, round(avg(user_id), 1) AS avg_tokens_generated, round(CASE WHEN avg(v) > 0 THEN avg(user_id) / avg(v) ELSE 0 END, 1) AS tokens_per_sec
