@@ -88,17 +88,25 @@ def span_mask(ids: Column, begin: list[int], end: list[int]) -> Column:
 
     Marker places are found first; the fold runs over them, not over the ids.
     """
-    at = lambda marker: F.filter(F.sequence(F.lit(0), F.greatest(F.size(ids) - 1, F.lit(0))), lambda i: F.slice(ids, i + 1, len(marker)) == F.array(*(F.lit(x) for x in marker)))
-    start = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<a: int, b: int>>)").alias("spans"))
+    bound = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)  # noqa: E731  evaluates c once, however often f uses it
 
-    def step(acc, i):
-        a = i + len(begin)
-        close = F.try_element_at(F.filter(at(end), lambda e: e >= a), F.lit(1))
-        b = F.coalesce(close + len(end), F.size(ids))
-        return F.when(i < acc.pos, acc).otherwise(F.struct(b.alias("pos"), F.concat(acc.spans, F.array(F.struct(a.alias("a"), b.alias("b")))).alias("spans")))
+    def places(ids, marker):
+        every = F.sequence(F.lit(0), F.greatest(F.size(ids) - 1, F.lit(0)))
+        return F.filter(every, lambda i: (F.get(ids, i) == marker[0]) & (F.slice(ids, i + 1, len(marker)) == F.array(*(F.lit(x) for x in marker))))
 
-    spans = F.aggregate(at(begin), start, step, lambda acc: acc.spans)
-    return F.transform(ids, lambda x, i: F.exists(spans, lambda s: (i >= s.a) & (i < s.b)).cast("int"))
+    def spans(ids, ends):
+        start = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<a: int, b: int>>)").alias("spans"))
+
+        def step(acc, i):
+            a = i + len(begin)
+            close = F.try_element_at(F.filter(ends, lambda e: e >= a), F.lit(1))
+            b = F.coalesce(close + len(end), F.size(ids))
+            return F.when(i < acc.pos, acc).otherwise(F.struct(b.alias("pos"), F.concat(acc.spans, F.array(F.struct(a.alias("a"), b.alias("b")))).alias("spans")))
+
+        return F.aggregate(places(ids, begin), start, step, lambda acc: acc.spans)
+
+    mask = lambda ids, found: F.transform(ids, lambda x, i: F.exists(found, lambda s: (i >= s.a) & (i < s.b)).cast("int"))
+    return bound(ids, lambda own: bound(places(own, end), lambda ends: bound(spans(own, ends), lambda found: mask(own, found))))
 
 
 def masked_labels(ids: Column, mask: Column) -> Column:
