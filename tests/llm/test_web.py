@@ -103,6 +103,16 @@ def test_line_blocks_without_article():
     assert html_extract.main_text("<p>tiny</p>") == "tiny"
 
 
+def test_line_blocks_beside_articles():
+    body = [f"{'word ' * 30}{i}" for i in range(4)]
+    page = "<body><div>Home</div><main>{}</main><article class='comment'><p>Nice post</p></article></body>"
+    assert html_extract.main_text(page.format("".join(f"<p>{b}</p>" for b in body))).split("\n")[:4] == body
+    page = "<body><div>Home</div><div>{}</div><article class='comment'><p>Nice post</p></article><div>x</div><div>y</div><div>z</div><div>w</div></body>"
+    got = html_extract.main_text(page.format("".join(f"<p>{b}</p>" for b in body))).split("\n")
+    assert [g for g in got if g in body] == body and "w" not in got
+    assert html_extract.main_text(f"<div>Home</div><article><p>{body[0]}</p><p>a</p><p>b</p><p>c</p><p>d</p></article><div>x</div>") == "\n".join([body[0], "a", "b"])
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "</p></div>", "<!--", "<script>", "a < b & c", "<p>&#xD800;&bogus;</p>", "<article>", "<a b='>", "\x00", "<head>", "<title>x"])
 def test_odd_pages(page):
     assert isinstance(html_extract.main_text(page), str)

@@ -2,8 +2,9 @@
 
 Markup is stripped to lines, one for each block element. The text lengths of ``WINDOW`` neighbouring lines are summed; where such a sum
 rises past the threshold and stays up a line-block surges, where it falls back to nothing it dives, and the text between a surge
-and its dive is kept. Containers that a page names itself (``nav``, ``aside``, ``form``, a class such as ``ad``) weigh nothing, and if the page
-marks its article, the distribution is that of the article, whose first and last texts are the surge and the dive.
+and its dive is kept. Containers that a page names itself (``nav``, ``aside``, ``form``, a class such as ``ad``) weigh nothing. Lines in an article
+that the page marks weigh ``ARTICLE`` times their length and make a distribution of their own; all others make another, so text outside the articles stays
+where it surges by itself.
 
 Cases: null html counts as empty, pages without text give the empty string; cut pages, unclosed and stray tags are read as far as they go;
 repeated rows give repeated rows; extra columns are ignored. White space is what Unicode calls so. Nothing is capped.
@@ -23,8 +24,10 @@ from textloom.llm import work
 
 #: Lines whose lengths are summed.
 WINDOW = 3
-#: A window's length at a surge, on pages that mark no article.
+#: A window's weight at a surge.
 SURGE = 80
+#: A line's weight is its length, so many times in an article that the page marks.
+ARTICLE = 8
 
 #: HTML element names by their role.
 RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "textarea", "select", "button", "title", "head", "canvas", "audio", "video"}
@@ -153,20 +156,19 @@ def _head_end(page: str, at: int, end: re.Pattern) -> int:
 def main_text(page: str) -> str:
     """The blocks between surges and dives, in page order, joined by a line feed."""
     blocks = lines(page)
-    marked = any(a and not side for _, side, a in blocks)
-    sizes = [0 if side or (marked and not a) else len(t) for t, side, a in blocks]
+    weights = [0 if side else len(t) * (ARTICLE if a else 1) for t, side, a in blocks]
+    # the blocks beside the article weigh nothing, but do not part it either; each article, and what is in none, has its own line-blocks
+    runs: dict[int, list[int]] = {}
+    for i, (_, _, a) in enumerate(blocks):
+        if weights[i]:
+            runs.setdefault(a, []).append(i)
+    sums = {a: [sum(weights[j] for j in own[k : k + WINDOW]) for k in range(len(own))] for a, own in runs.items()}
+    least = min(SURGE, max((s for x in sums.values() for s in x), default=0))
     keep = [False] * len(blocks)
-    if marked:
-        keep = [n > 0 for n in sizes]
-    else:
-        # the blocks beside the article weigh nothing, but do not part it either
-        own = [i for i, n in enumerate(sizes) if n]
-        sums = [sum(sizes[j] for j in own[k : k + WINDOW]) for k in range(len(own))]
-        least = min(SURGE, max(sums, default=0))
-        surge = next((k for k, s in enumerate(sums) if s >= least), None)
-        if surge is not None:
-            dive = max(k for k, s in enumerate(sums) if s >= least)
-            for i in own[surge : dive + WINDOW]:
+    for a, own in runs.items():
+        high = [k for k, s in enumerate(sums[a]) if s >= least]
+        if high:
+            for i in own[high[0] : high[-1] + WINDOW]:
                 keep[i] = True
     return "\n".join(t for (t, _, _), k in zip(blocks, keep, strict=True) if k)
 
