@@ -172,6 +172,24 @@ def test_pack_prefers_neighbours():
     assert sum(n == 1 for n in same) >= 0.7 * len(same)
 
 
+def test_shards_hold_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 20)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    rows = []
+    for i in range(200):
+        text = [word() for _ in range(60)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:-1] + [word()]))]
+    rows += [(1000 + i, "one text of many copies") for i in range(100)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    shard = {p.doc_id: p.sequence_id >> 25 for p in pieces}
+    sizes = [list(shard.values()).count(x) for x in set(shard.values())]
+    assert len(sizes) == 25 and set(sizes) == {20}
+    assert sum(shard[2 * i] == shard[2 * i + 1] for i in range(200)) >= 140
+    again = {p.doc_id: p.sequence_id >> 25 for p in packing.pack(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(5)).collect()}
+    assert again == shard
+
+
 def test_powers():
     for total in (1, 2, 3, 300, 511, 2047):
         parts = list(packing.powers([(0, 0, total // 3), (1, 5, total - total // 3)], total))

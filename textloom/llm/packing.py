@@ -1,7 +1,9 @@
 """Lexical retrieval packing: BM25 neighbours fill the windows of seed documents.
 
 Documents become byte-level BPE ids and an end id. What fills whole windows of a long document is cut off at once; the rest, one item a document,
-goes to shards by a hash. A shard holds an inverted index over its items' ids. Seed by seed it retrieves unused neighbours by BM25 score and
+goes to shards of lexical neighbours: items are ordered by the ids that a weighted MinHash draws first (ids of higher rank in the vocabulary are rarer and
+weigh more), and runs of that order are shards. Two items draw the same first id with a chance of their weighted overlap, whatever the number of items;
+runs of one first id that are too long for a shard part at the next ids, runs of copies at a hash. A shard holds an inverted index over its items' ids. Seed by seed it retrieves unused neighbours by BM25 score and
 places them in the seed's window, whole ones first; the best of those that no longer fit is cut, and what is left of it stays in the index.
 Windows are thus full. A shard's last, partial window is cut into pieces whose lengths are powers of two, which need no padding.
 
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import work
+from textloom.operators.sample import prefix_sum
 
 WINDOW = 2048
 END_ID = 1
@@ -69,12 +72,31 @@ def encode(text: str, path: str) -> np.ndarray:
     return np.append(ids, END_ID).astype(np.uint16)
 
 
+def _draws() -> np.ndarray:
+    """Each id's exponential draw, by a fixed hash, at the rate of the root of its rank: of a set's ids the least is drawn first."""
+    x = np.arange(1, N_IDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return -np.log(((x >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)) / np.sqrt(np.arange(1, N_IDS + 1))
+
+
+DRAWS = _draws()
+
+
+def shard_key(ids: np.ndarray) -> int:
+    """The three ids that are drawn first, 16 bits each, above 15 bits that are free for ties."""
+    own = np.unique(ids)
+    first = [int(i) for i in own[np.argsort(DRAWS[own], kind="stable")[:3]]] + [0, 0]
+    return first[0] << 47 | first[1] << 31 | first[2] << 15
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-_CUT = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
-_CUT_DDL = "kind string, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+_CUT = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("key", pa.int64())])
+_CUT_DDL = "kind string, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, key long"
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 _OUT_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -94,11 +116,11 @@ def _cut(path: str, window: int):
                     counts[1] += n
                     whole = n - n % window
                     for at in range(0, whole, window):
-                        yield "full", doc_id, at, window, crc(ids[at : at + window]), n, None
+                        yield "full", doc_id, at, window, crc(ids[at : at + window]), n, None, None
                     if whole < n:
-                        yield "rest", doc_id, whole, n - whole, None, n, ids[whole:].astype("<u2").tobytes()
+                        yield "rest", doc_id, whole, n - whole, None, n, ids[whole:].astype("<u2").tobytes(), shard_key(ids[whole:])
             if counts[0]:
-                yield "stats", None, counts[0], counts[1], None, None, zstandard.compress(df.astype("<i8").tobytes(), 1)
+                yield "stats", None, counts[0], counts[1], None, None, zstandard.compress(df.astype("<i8").tobytes(), 1), None
 
         yield from work.batches(_CUT, rows())
 
@@ -112,7 +134,7 @@ def _add_stats(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs, ids = docs + n, ids + m
             df += np.frombuffer(zstandard.decompress(blob), "<i8")
     if docs:
-        yield from work.batches(_CUT, [("stats", None, docs, ids, None, None, zstandard.compress(df.astype("<i8").tobytes(), 1))])
+        yield from work.batches(_CUT, [("stats", None, docs, ids, None, None, zstandard.compress(df.astype("<i8").tobytes(), 1), None)])
 
 
 def corpus_stats(cut: DataFrame) -> tuple[int, float, np.ndarray]:
@@ -247,8 +269,11 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
     n, mean, df = corpus_stats(cut)
     idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
     rest = cut.where("kind = 'rest'")
-    shards = max(1, round(rest.count() / SHARD_ITEMS))
-    rest = rest.select("doc_id", "start", "doc_tokens", "ids", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).alias("shard"))
+    items = rest.count()
+    shards = max(1, round(items / SHARD_ITEMS))
+    rest = rest.select("doc_id", "start", "doc_tokens", "ids", (F.col("key") + F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 15))).alias("key"), F.lit(1).cast("long").alias("one"))
+    place = prefix_sum(rest, "key", "one", "place", ["doc_id", "start", "ids"])
+    rest = place.select("doc_id", "start", "doc_tokens", "ids", F.floor((F.col("place") - 1) * shards / items).cast("long").alias("shard"))
     packed = rest.groupBy("shard").applyInArrow(_pack(idf, mean, window), _OUT_DDL)
     full = cut.where("kind = 'full'").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return full.unionByName(packed)
