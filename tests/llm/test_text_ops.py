@@ -172,6 +172,25 @@ def test_pack_prefers_neighbours():
     assert sum(n == 1 for n in same) >= 0.7 * len(same)
 
 
+def test_pack_goes_on_by_score():
+    def first_window(items, window):
+        df = np.zeros(packing.N_IDS)
+        for x in items:
+            df[np.unique(x)] += 1
+        return {i for i, _, _ in next(packing.fill(items, np.log1p((len(items) - df + 0.5) / (df + 0.5)), 40.0, window))}
+
+    rng = np.random.default_rng(3)
+    short = [np.array(rng.integers(0, 60, 30), np.uint16) for _ in range(60)]
+    other = [np.array(rng.integers(2000, 2060, 31), np.uint16) for _ in range(60)]
+    seed = [np.array(rng.integers(0, 60, 40), np.uint16)]
+    assert first_window([*other, *short, *seed], 1500) <= set(range(60, 121))  # more than two groups
+    # the seed's rarest ids are its own; the others share its most frequent id alone
+    seed = [np.array([*range(100, 150), 7], np.uint16)]
+    own = [np.array([7, 9000 + i, 9100 + i], np.uint16) for i in range(20)]
+    other = [np.array([*range(2000, 2040)], np.uint16) for _ in range(20)]
+    assert first_window([*other, *own, *seed], 51 + 60) == set(range(20, 41))
+
+
 def test_shards_hold_neighbours(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ITEMS", 20)
     rng = random.Random(8)

@@ -4,7 +4,8 @@ Documents become byte-level BPE ids and an end id. What fills whole windows of a
 goes to shards of lexical neighbours: items are ordered by the ids that a weighted MinHash draws first (ids of higher rank in the vocabulary are rarer and
 weigh more), and runs of that order are shards. Two items draw the same first id with a chance of their weighted overlap, whatever the number of items;
 runs of one first id that are too long for a shard part at the next ids, runs of copies at a hash. A shard holds an inverted index over its items' ids. Seed by seed it retrieves unused neighbours by BM25 score and
-places them in the seed's window, whole ones first; the best of those that no longer fit is cut, and what is left of it stays in the index.
+places them in the seed's window, a group of the next best at a time, whole ones first; the best of a group that no longer fit is cut, and what is left
+of it stays in the index. Only where no unused item of the shard shares an id with the seed, the longest unused ones follow.
 Windows are thus full. A shard's last, partial window is cut into pieces whose lengths are powers of two, which need no padding.
 
 Inverse document frequencies and the mean length are of all documents; the vocabulary bounds their size.
@@ -40,9 +41,9 @@ N_IDS = 50_257
 K1, B = 1.2, 0.75
 #: Items of a shard, on the mean.
 SHARD_ITEMS = 2_000
-#: Ids of a seed with the highest weights that query the index.
+#: Ids of a seed with the highest weights that query the index first; all its ids do where their neighbours do not fill the window.
 QUERY_IDS = 12
-#: Neighbours that are tried for a window before its rest goes to the best one's cut.
+#: Neighbours, next by score, that are tried whole before the window's rest goes to the best one's cut.
 NEIGHBOURS = 24
 
 _encoders: dict = {}
@@ -165,20 +166,25 @@ class Shard:
         self.idf = idf
         self.unused = np.ones(n, bool)
 
-    def neighbours(self, item: int) -> np.ndarray:
-        """Unused items by falling score for the seed's ids of highest weight; those that share none of them are left out."""
+    def neighbours(self, item: int, most: int | None = QUERY_IDS) -> np.ndarray:
+        """Unused items by falling score for the seed's ids of highest weight, or all its ids; those that share none of them are left out."""
         ids, tf = np.unique(self.items[item], return_counts=True)
         pay = self.idf[ids] * tf / (tf + K1)
-        ids = ids[np.argsort(-pay, kind="stable")[:QUERY_IDS]]
+        ids = ids[np.argsort(-pay, kind="stable")[:most]]
         scores = np.zeros(len(self.items), np.float32)
         for t in ids:
             part = slice(self.first[t], self.first[t + 1])
             scores[self.docs[part]] += self.weight[part]
         scores[~self.unused] = 0
         found = np.flatnonzero(scores)
-        if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-scores[found], NEIGHBOURS)[:NEIGHBOURS]]
-        return found[np.lexsort((found, -scores[found]))]
+        return found[np.argsort(-scores[found], kind="stable")]
+
+    def groups(self, item: int) -> Iterator[list[int]]:
+        """The neighbours in groups by falling score: those by the ids of highest weight, then what is unused by all ids."""
+        for most in (QUERY_IDS, None):
+            near = self.neighbours(item, most).tolist()
+            for k in range(0, len(near), NEIGHBOURS):
+                yield near[k : k + NEIGHBOURS]
 
 
 def fill(items: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -206,25 +212,25 @@ def fill(items: list[np.ndarray], idf: np.ndarray, mean: float, window: int) ->
         pieces = [take(seed, window)]
         room = window - pieces[0][2]
         if room:
-            near = [int(i) for i in shard.neighbours(seed)]
-            for i in near:
-                if room and left[i] and left[i] <= room:
-                    pieces.append(take(i, room))
+            for near in shard.groups(seed):
+                for i in near:
+                    if room and left[i] <= room:
+                        pieces.append(take(i, room))
+                        room -= pieces[-1][2]
+                rest = [i for i in near if left[i]]
+                if room and rest:
+                    pieces.append(take(rest[0], room))
                     room -= pieces[-1][2]
-            rest = [i for i in near if left[i]]
+                if not room:
+                    break
             k = at
             while room:
-                if rest:
-                    i = rest.pop(0)
-                else:
-                    while k < len(order) and not left[order[k]]:
-                        k += 1
-                    if k == len(order):
-                        break
-                    i = order[k]
-                if left[i]:
-                    pieces.append(take(i, room))
-                    room -= pieces[-1][2]
+                while k < len(order) and not left[order[k]]:
+                    k += 1
+                if k == len(order):
+                    break
+                pieces.append(take(order[k], room))
+                room -= pieces[-1][2]
         if not room:
             yield pieces
             continue
