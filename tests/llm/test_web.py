@@ -113,6 +113,13 @@ def test_line_blocks_beside_articles():
     assert html_extract.main_text(f"<div>Home</div><article><p>{body[0]}</p><p>a</p><p>b</p><p>c</p><p>d</p></article><div>x</div>") == "\n".join([body[0], "a", "b"])
 
 
+@pytest.mark.parametrize("name", ["button", "select", "object", "svg", "math", "canvas", "audio", "video", "template", "head"])
+def test_unclosed_elements_do_not_cut(name):
+    page = f"<article><p>First words</p><{name} class=x><p>Last words</p></article>"
+    assert html_extract.main_text(page) == "First words\nLast words"
+    assert html_extract.main_text("<article><p>First words</p><script><p>Last words</p></article>") == "First words"
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "</p></div>", "<!--", "<script>", "a < b & c", "<p>&#xD800;&bogus;</p>", "<article>", "<a b='>", "\x00", "<head>", "<title>x"])
 def test_odd_pages(page):
     assert isinstance(html_extract.main_text(page), str)

@@ -31,6 +31,8 @@ ARTICLE = 8
 
 #: HTML element names by their role.
 RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "textarea", "select", "button", "title", "head", "canvas", "audio", "video"}
+#: Those of them that HTML reads as raw text: without an end tag they reach to the page's end.
+UNPARSED = {"script", "style", "noscript", "iframe", "textarea", "title"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "meter", "output", "picture", "progress", "q", "rp", "rt", "ruby", "s", "samp", "small", "source", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
@@ -85,6 +87,7 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
                 out.append((text, side, article))
 
     at = 0
+    unclosed: set[str] = set()
     while at < len(page):
         m = TOKEN.search(page, at)
         if m is None:
@@ -124,8 +127,13 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
                 found = _head_end(page, at, end)
                 at = found
                 continue
-            found = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = found.end() if found else len(page)
+            found = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            if found:
+                at = found.end()
+            elif name in UNPARSED:
+                at = len(page)
+            else:  # read as if the start tag were not there
+                unclosed.add(name)
             continue
         if name == "p" or name == "li" or name in ("td", "th", "tr", "dt", "dd", "option"):
             while stack and stack[-1][0] == name:  # an open one of these ends where the next begins
@@ -141,12 +149,13 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
 
 
 def _head_end(page: str, at: int, end: re.Pattern) -> int:
-    """Past the head; scripts and styles in it may hold what looks like its end."""
+    """Past the head, or its start where it has no end; scripts and styles in it may hold what looks like its end."""
+    start = at
     raw = re.compile(r"<(script|style|title)\b[^>]*>.*?</\1\s*>", re.I | re.S)
     while True:
         stop = end.search(page, at)
         if stop is None:
-            return len(page)
+            return start
         inner = raw.search(page, at)
         if inner is None or inner.start() > stop.start():
             return stop.end() if stop[0][1] == "/" else stop.start()
