@@ -45,6 +45,24 @@ def test_license_scan_runs_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_notices_find_wrapped_templates(spark):
+    import textwrap
+
+    filler = " ".join(f"filler{i}" for i in range(300))
+    rows = [(i, f"{filler}\n" + "\n".join(textwrap.wrap(t, 24, break_long_words=False)) + f"\n{filler}") for i, (_, t) in enumerate(license_scan.TEMPLATES)]
+    rows += [(100, "Copyright (c) 2020 Jane Doe. Released under the MIT License. All of it"), (101, None), (102, ""), (103, filler), (104, "mit")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = license_scan.notices(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    got = {(r.doc_id, r.template): r for r in out.collect()}
+    for i, (name, t) in enumerate(license_scan.TEMPLATES):
+        r = got[i, i]
+        assert (r.license, r.dice, r.word, r.words) == (name, 1.0, 300, len(license_scan.words_of(t)))
+    assert (100, 0) in got and not any(i in (101, 102, 103, 104) for i, _ in got)
+    assert all(i == k for i, k in got if i < 100)
+
+
 URLS = [
     None, "", "nothing", "://", "http://", "HTTP://WWW.Example.COM/en/1", "http://example.com/en/", "http://example.com/en", "http://x.example.com/en/?a=1", "http://a.www.example.com/en/9",
     "https://b.net/es/1#t", "https://net/fr/2", "https://notnet/fr/2", "https://c.net/de/1", "https://d.com", "https://d.com/", "https://d.com?x=/en/", "a://b://c.com/x", "https://É.com/ö/1", "http://e.org/en/1?x=1&y=2#z",

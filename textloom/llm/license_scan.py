@@ -5,6 +5,8 @@ characters than a-z and 0-9 a blank. With a threshold t, two bigram sets of size
 a >= b * t / (2 - t) and a <= b * (2 - t) / t: units outside every template's bounds never get bigrams, and a unit is only
 compared with the templates whose bounds it meets.
 
+``scan`` takes these units, as the registered query's SQL does; ``notices`` takes word windows of the whole text and so finds wrapped notices.
+
 All of it is built-in column functions. The templates are literals: their number bounds what reaches the tasks.
 
 Cases: null text counts as empty; units of fewer than two words match nothing; of templates that match a unit equally well the first in the list is
@@ -101,6 +103,41 @@ def scan(docs: DataFrame, templates=None, percent: int = PERCENT, id_col: str =
     return found.select("doc_id", F.col("unit").cast("long").alias("unit"), F.col("best.license").alias("license"), (-F.col("best.place")).cast("long").alias("template"), F.round("best.dice", 6).alias("dice"), F.col("best.license").isin(RESTRICTED).alias("restricted"))
 
 
+def notices(docs: DataFrame, templates=None, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each template that some words of a text match, line breaks or not: doc_id, word and words (the best window's first word and length), license, template, dice, restricted.
+
+    Windows have as many bigrams as the template's upper bound at most. The best one begins and ends with a bigram of the template, so only those are compared.
+    Of matches that overlap, the better one stays, of equally good ones the longer.
+    """
+    table = [(i, name, bigrams_of(t)) for i, (name, t) in enumerate(TEMPLATES if templates is None else templates)]
+    table = [(i, name, own, *bounds(len(own), percent)) for i, name, own in table if own]
+    known = sorted({g for _, _, own, _, _ in table for g in own})
+    held = lambda c: F.explode(F.array(c))  # noqa: E731  a projection that later filters do not repeat
+    every = F.array(*(F.struct(F.lit(-i).alias("place"), F.lit(name).alias("license"), F.array(*map(F.lit, own)).alias("own"), F.lit(lo).alias("low"), F.lit(hi).alias("high")) for i, name, own, lo, hi in table))
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), held(_words(F.coalesce(F.col(text_col), F.lit("")))).alias("words"))
+    pairs = F.transform(F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda w, i: F.concat(F.get("words", i), F.lit(" "), w))
+    found = found.select("doc_id", held(pairs).alias("pairs"))
+    found = found.select("doc_id", "pairs", held(F.filter(F.transform("pairs", lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda x: x["g"].isin(known))).alias("hits"))
+    found = found.where(F.size("hits") >= min(lo for *_, lo, _ in table))
+
+    def windows(t: Column, hits: Column) -> Column:
+        ends = lambda x, k: F.filter(F.slice(hits, k + t["low"], t["high"]), lambda y: y["i"] - x["i"] < t["high"])  # noqa: E731  a match has low hits at least
+        spans = F.flatten(F.transform(hits, lambda x, k: F.transform(ends(x, k), lambda y: F.struct(x["i"].alias("a"), (y["i"] - x["i"] + 1).alias("n")))))
+
+        def scored(w: Column) -> Column:
+            own = F.slice("pairs", w["a"] + 1, w["n"])
+            dice = 2 * F.size(F.array_intersect(own, t["own"])) / (F.size(F.array_distinct(own)) + F.size(t["own"]))
+            return F.struct(dice.alias("dice"), w["n"].alias("n"), t["place"].alias("place"), (-w["a"]).alias("at"), t["license"].alias("license"))
+
+        return F.array_max(F.transform(spans, scored))
+
+    best = F.transform(every, lambda t: windows(t, F.filter("hits", lambda x: F.array_contains(t["own"], x["g"]))))
+    found = found.select("doc_id", held(F.filter(best, lambda m: m["dice"] * 100 >= percent)).alias("best"))
+    beaten = lambda m: F.exists("best", lambda o: (o > m) & (-o["at"] <= m["n"] - m["at"]) & (-m["at"] <= o["n"] - o["at"]))
+    found = found.select("doc_id", F.explode(F.filter("best", lambda m: ~beaten(m))).alias("m"))
+    return found.select("doc_id", (-F.col("m.at")).cast("long").alias("word"), (F.col("m.n") + 1).cast("long").alias("words"), "m.license", (-F.col("m.place")).cast("long").alias("template"), F.round("m.dice", 6).alias("dice"), F.col("m.license").isin(RESTRICTED).alias("restricted"))
+
+
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
     """Licence notices of every document."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
