@@ -10,8 +10,8 @@ WS = r"[\s\x1c-\x1f]"
 
 
 def strip(c: Column) -> Column:
-    """White space off both ends."""
-    return F.regexp_replace(F.regexp_replace(c, rf"(?U)\A{WS}+", ""), rf"(?U){WS}+\z", "")
+    """White space off both ends; a run of white space within the text is scanned once."""
+    return F.regexp_replace(F.regexp_replace(c, rf"(?U)\A{WS}+", ""), rf"(?U)(?<!{WS}){WS}++\z", "")
 
 
 def held(c: Column) -> Column:

@@ -21,7 +21,9 @@ SPACES = r"[ \t]{4,}"
 
 def clean(c: Column) -> Column:
     """Tags and entities out, URLs masked, navigation and cookie phrases out, white space and one pair of quotes trimmed, empty lines dropped."""
-    for pattern, put in ((TAG, ""), (ENTITY, ""), (URL, "[URL]"), (NAVIGATION, ""), (COOKIE, ""), (NEWLINES, "\n\n"), (SPACES, "  ")):
+    rest = F.substring_index(c, ">", -1)  # no tag ends here, so it is not searched from each of its open brackets
+    c = F.concat(F.regexp_replace(F.substring(c, F.lit(1), F.length(c) - F.length(rest)), TAG, ""), rest)
+    for pattern, put in ((ENTITY, ""), (URL, "[URL]"), (NAVIGATION, ""), (COOKIE, ""), (NEWLINES, "\n\n"), (SPACES, "  ")):
         c = F.regexp_replace(c, pattern, put)
     c = F.regexp_replace(T.strip(c), r'\A"', "")
     c = F.regexp_replace(T.strip(c), r'"\z', "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.sources import tables
+
 #: Characters of a text's head that make its fingerprint, and of a shingle.
 HEAD, SHINGLE = 200, 3
 
@@ -21,13 +23,20 @@ def fingerprint(text: Column) -> Column:
 def dedup_status(df: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds ``status``: ``unique`` for the first row of a fingerprint, ``exact_dup`` for one with that row's text, ``near_dup`` for others.
 
-    Equal texts have equal fingerprints and only first rows are kept, so this is what a pass in row order finds. The first row of each fingerprint is
-    a partial aggregate; a fingerprint that many rows share meets it in a join, which Spark may split.
+    Equal texts have equal fingerprints and only first rows are kept, so this is what a pass in row order finds; of rows that share the order value one comes first.
+    The rows are written once with their hashes. The first row of each fingerprint is a partial aggregate of narrow columns; a fingerprint that many rows share meets it
+    in a join, which Spark may split. Only what a query selects is read again.
+
+    Cases: null text has no fingerprint, so its rows are one group (the first is unique, the others are copies); null order values come first; a column of the rows
+    named ``status`` is replaced.
     """
-    keyed = df.withColumns({"__fp": fingerprint(F.col(text)), "__md5": F.md5(F.col(text))})
-    first = keyed.groupBy("__fp").agg(F.min(F.struct(F.col(order).alias("o"), F.col("__md5").alias("m"))).alias("__first"))
-    status = F.when(F.col(order) == F.col("__first.o"), "unique").when(F.col("__md5") == F.col("__first.m"), "exact_dup").otherwise("near_dup")
-    return keyed.join(first, "__fp").withColumn("status", status).drop("__fp", "__md5", "__first")
+    hashes = {"fp": fingerprint(F.col(text)), "md5": F.md5(F.col(text)), "row": F.monotonically_increasing_id(), "o": F.col(order)}
+    own = [c for c in df.columns if c != "status"]
+    rows = tables.keep(df.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("own"), *(c.alias(k) for k, c in hashes.items())), "fingerprints")
+    key = F.coalesce("fp", F.lit(""))
+    first = rows.groupBy(key.alias("key")).agg(F.min(F.struct("o", "md5", "row")).alias("first"))
+    status = F.when(F.col("row") == F.col("first.row"), "unique").when(F.col("md5").eqNullSafe(F.col("first.md5")), "exact_dup").otherwise("near_dup")
+    return rows.withColumn("key", key).join(first, "key").select(*(F.col("own").getField(c).alias(c) for c in own), status.alias("status"))
 
 
 def new_prompts(batch: DataFrame, known: DataFrame, key: list[str], order: str) -> DataFrame:

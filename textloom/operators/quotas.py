@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators import sample
+
 
 def gaps(targets: DataFrame, done: DataFrame, key: str = "category") -> DataFrame:
     """(key, target, done, gap) of every category of the dimension; rows of other categories do not count."""
@@ -29,22 +31,20 @@ def request_batches(gap: DataFrame, size: int = 200) -> DataFrame:
 def continued(new: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:
     """Adds ``sample_idx``: numbers that go on from each category's existing rows, from 1."""
     counts = existing.groupBy(key).agg(F.count(F.lit(1)).alias("__have"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return new.withColumn("__place", place).join(F.broadcast(counts), key, "left").withColumn("sample_idx", F.col("__place") + F.coalesce("__have", F.lit(0))).drop("__place", "__have")
+    numbered = sample.number_within(new, key, F.col(order), "__place")
+    return numbered.join(counts, key, "left").withColumn("sample_idx", F.col("__place") + F.coalesce("__have", F.lit(0))).drop("__place", "__have")
 
 
 def remaining(prompts: DataFrame, done: DataFrame, targets: DataFrame, key: str, order: str) -> DataFrame:
     """Prompts of each category from the number done up to the target, by position."""
     counts = done.groupBy(key).agg(F.count(F.lit(1)).alias("__have"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    rows = prompts.withColumn("place", place).join(F.broadcast(targets), key).join(F.broadcast(counts), key, "left")
+    rows = sample.number_within(prompts, key, F.col(order), "place").join(targets, key).join(counts, key, "left")
     return rows.where((F.col("place") > F.coalesce("__have", F.lit(0))) & (F.col("place") <= F.col("target"))).drop("__have")
 
 
 def shuffled_take(df: DataFrame, key: str, draw: Column, need: DataFrame) -> DataFrame:
     """As many rows of each category as ``need`` (key, gap) says, in the order of ``draw``."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(draw))
-    return df.withColumn("place", place).join(F.broadcast(need.select(key, "gap")), key).where(F.col("place") <= F.col("gap")).drop("gap")
+    return sample.number_within(df, key, draw, "place").join(need.select(key, "gap"), key).where(F.col("place") <= F.col("gap")).drop("gap")
 
 
 def assigned(key: Column, names: list[str], seed: int) -> Column:

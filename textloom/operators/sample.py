@@ -5,24 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.sources import tables
 
-def prefix_sum(df: DataFrame, order: str, value: str, out: str, tie: list[str] | None = None) -> DataFrame:
-    """Adds the inclusive running sum of ``value`` by ``order`` (a number, not null).
 
-    Rows go to ranges of the order; sums run within a range, and the ranges' totals, one row each, give every range its offset.
+def ranges(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt to ranges of the keys, with their range as ``__range``, as a written table.
+
+    They are written before too, since the choice of the ranges reads them once more; so ``df`` should hold no more than is needed.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first().c or []
-    ranges = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    ranged = df.withColumn("__range", ranges)
+    return tables.keep(tables.keep(df, "rows").repartitionByRange(n, *keys).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
+def prefix_sum(df: DataFrame, order: str, value: str, out: str, tie: list[str] | None = None) -> DataFrame:
+    """Adds the inclusive running sum of ``value`` by ``order`` and then ``tie``.
+
+    Sums run within ranges of the order, and the ranges' totals, one row each, give every range its offset. Null values count as 0, null orders come first.
+    """
+    keys = [order, *(tie or [])]
+    ranged = ranges(df, *keys)
     totals = ranged.groupBy("__range").agg(F.sum(value).alias("__total"))  # one row a range
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("__range", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
-    own = Window.partitionBy("__range").orderBy(order, *(tie or [])).rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranged.withColumn("__own", F.sum(value).over(own))
+    own = Window.partitionBy("__range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumn("__own", F.coalesce(F.sum(value).over(own), F.lit(0)))
     return summed.join(F.broadcast(offsets), "__range").withColumn(out, F.col("__own") + F.col("__before")).drop("__range", "__own", "__before")
 
 
+def number_within(df: DataFrame, key: str, order: Column, out: str) -> DataFrame:
+    """Adds the row number within ``key`` by ``order``, from 1. A key with most of the rows is dealt to many ranges, like the order itself."""
+    ranged = ranges(df.withColumn("__order", order), key, "__order")
+    totals = ranged.groupBy(F.col(key).alias("__key"), F.col("__range").alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # each range holds a run of keys, so these are ranges plus keys
+    before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).where("__before > 0").drop("__n")
+    place = F.row_number().over(Window.partitionBy(key, "__range").orderBy("__order"))
+    numbered = ranged.withColumn("__own", place)
+    met = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__part"))
+    return numbered.join(offsets, met, "left").withColumn(out, F.col("__own") + F.coalesce("__before", F.lit(0))).drop("__order", "__range", "__own", "__key", "__part", "__before")
+
+
 def number_rows(df: DataFrame, order: str, out: str) -> DataFrame:
     """Adds the row number by ``order``, from 1, the same way."""
     return prefix_sum(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", out).drop("__one")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators import sample
+from textloom.sources import tables
 
 # Special ids and the label that losses ignore.
 PAD, BOS, EOS, UNK, TEXT_BEGIN, TEXT_END, THINK_BEGIN, THINK_END, SUMMARY = range(9)
@@ -47,21 +48,29 @@ def wrapped(ids: Column, length: int) -> Column:
 
 
 def pack(df: DataFrame, order: str, ids: str, length: int) -> DataFrame:
-    """Documents end to end in order, cut to chunks of ``length``; the rest that fills no chunk is dropped. Columns chunk, input_ids, labels."""
-    sized = sample.prefix_sum(df.withColumn("__n", F.size(ids).cast("long")), order, "__n", "__end")
-    total = sized.agg(F.max("__end").alias("t")).select(F.floor(F.coalesce("t", F.lit(0)) / length).alias("chunks"))
+    """Documents end to end in order, cut to chunks of ``length``; the rest that fills no chunk is dropped. Columns chunk, input_ids, labels.
+
+    Ids are made and written once; places are summed over sizes alone and meet the ids by row. Null ids count as none.
+    """
+    rows = tables.keep(df.select(F.monotonically_increasing_id().alias("row"), F.col(order).alias("o"), F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n"), F.col(ids).alias("ids")).where("n > 0"), "pack-ids")
+    sized = sample.prefix_sum(rows.select("row", "o", "n"), "o", "n", "end", ["row"])
+    total = sized.agg(F.floor(F.coalesce(F.max("end"), F.lit(0)) / length).alias("chunks"))
+    begin = F.col("end") - F.col("n")
     # a document's slice of every chunk it meets, so that no row is made for a token
-    first = F.floor((F.col("__end") - F.col("__n")) / length)
-    last = F.floor((F.col("__end") - 1) / length)
-    met = sized.where("__n > 0").withColumn("chunk", F.explode(F.sequence(first, last))).join(F.broadcast(total), F.col("chunk") < F.col("chunks"))
-    begin = F.col("__end") - F.col("__n")
+    placed = sized.select("row", "end").join(rows.select("row", "n", "ids"), "row")
+    met = placed.withColumn("chunk", F.explode(F.sequence(F.floor(begin / length), F.floor((F.col("end") - 1) / length)))).join(F.broadcast(total), F.col("chunk") < F.col("chunks"))
     low = F.greatest(F.col("chunk") * length - begin, F.lit(0))
-    high = F.least((F.col("chunk") + 1) * length - begin, F.col("__n"))
-    piece = F.struct(F.greatest(begin, F.col("chunk") * length).alias("at"), F.slice(F.col(ids), (low + 1).cast("int"), (high - low).cast("int")).alias("part"))
+    high = F.least((F.col("chunk") + 1) * length - begin, F.col("n"))
+    piece = F.struct(F.greatest(begin, F.col("chunk") * length).alias("at"), F.slice("ids", (low + 1).cast("int"), (high - low).cast("int")).alias("part"))
     whole = met.groupBy("chunk").agg(F.flatten(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p.part)).alias("input_ids"))
     return whole.withColumn("labels", boundary_labels(F.col("input_ids")))
 
 
+def first_sequences(sequences: DataFrame, order: str, most: int | None) -> DataFrame:
+    """The first ``most`` sequences in order, as the stop after so many emitted ones does; none or 0 means all."""
+    return sequences.orderBy(order).limit(most) if most else sequences
+
+
 def boundary_labels(ids: Column) -> Column:
     """The ids, with documents' begin ids after the first place ignored."""
     return F.transform(ids, lambda x, i: F.when((i > 0) & (x == BOS), F.lit(IGNORE)).otherwise(x))
@@ -126,6 +135,7 @@ def batches(df: DataFrame, order: str, columns: list[str], size: int) -> DataFra
     return numbered.groupBy("batch").agg(rows.alias("r")).select("batch", *(F.col(f"r.{c}").alias(c) for c in columns))
 
 
+# Fixed value: the public split of byte-level tokenizers.
 PRETOKEN = r"(?U)'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 

@@ -9,13 +9,13 @@ from textloom.functions import text as T
 from textloom.operators import clean, dedup, quality, quotas, sample, scrub
 from textloom.plans.base import query
 from textloom.sources import collectors, jsonl
-from textloom.sources.tables import shared_dir, table
+from textloom.sources.tables import spread, table, work_path
 
 _METRICS = f"split AS ({quality.METRICS_SQL[0]}), metrics AS ({quality.METRICS_SQL[1]}), judged AS (SELECT *, {quality.REASON_SQL} AS reason FROM metrics)"
 
 
 def judged(spark, sf_dir):
-    docs = quality.with_metrics(table(spark, sf_dir, "documents"))
+    docs = quality.with_metrics(spread(table(spark, sf_dir, "documents")))
     return docs.select(*docs.columns, T.held(quality.reason()).alias("reason"))
 
 
@@ -37,19 +37,21 @@ def cleaned(spark, sf_dir):
 SELECT reason, count(*) AS n FROM judged GROUP BY 1
 UNION ALL SELECT 'too_short_after_clean', count(*) FROM cleaned WHERE length(text) < 50 HAVING count(*) > 0""")
 def quality_reason_counts(spark, sf_dir):
-    counts = judged(spark, sf_dir).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-    short = cleaned(spark, sf_dir).where(F.length("text") < 50).agg(F.lit("too_short_after_clean").alias("reason"), F.count(F.lit(1)).alias("n")).where("n > 0")
-    return counts.unionByName(short)
+    """One pass: a row that passed is cleaned for its length, and counts again where that is too short."""
+    rows = judged(spark, sf_dir).select("reason", ((F.col("reason") == "passed") & (F.length(clean.clean(F.col("text"))) < 50)).alias("short"))
+    counts = rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count_if("short").alias("short"))
+    both = F.array(F.struct("reason", "n"), F.struct(F.lit("too_short_after_clean").alias("reason"), F.col("short").alias("n")))
+    return counts.select(F.explode(both).alias("r")).select("r.reason", "r.n").where("n > 0")
 
 
 @query(f"SELECT doc_id, {clean.clean_sql('text')} AS text FROM documents")
 def clean_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", clean.clean(F.col("text")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", clean.clean(F.col("text")).alias("text"))
 
 
 @query(f"SELECT page_id, {clean.clean_sql('html')} AS text FROM pages")
 def clean_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", clean.clean(F.col("html")).alias("text"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", clean.clean(F.col("html")).alias("text"))
 
 
 _N = ", ".join(r[0] for r in scrub.RULES)
@@ -58,7 +60,7 @@ _LAST = f"r{len(scrub.RULES) - 1}"
 
 @query(f"WITH d AS (SELECT doc_id, text FROM documents), {scrub.scrub_sql('d')} SELECT doc_id, text, {_N} FROM {_LAST}")
 def scrub_documents(spark, sf_dir):
-    return scrub.scrub(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", *(r[0] for r in scrub.RULES))
+    return scrub.scrub(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "text", *(r[0] for r in scrub.RULES))
 
 
 _SCRUBBED = f"{_CLEANED}, kept AS (SELECT * FROM cleaned WHERE length(text) >= 50), {scrub.scrub_sql('kept')}"
@@ -79,17 +81,17 @@ def redaction_totals(spark, sf_dir):
 
 @query(f"SELECT doc_id, {dedup.FINGERPRINT_SQL.format(t='text')} AS fp FROM documents")
 def fingerprint(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", dedup.fingerprint(F.col("text")).alias("fp"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", dedup.fingerprint(F.col("text")).alias("fp"))
 
 
 def _status_sql(source: str) -> str:
-    return f"""SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'unique' WHEN md5(text) = first_value(md5(text)) OVER w THEN 'exact_dup' ELSE 'near_dup' END AS status
+    return f"""SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'unique' WHEN md5(text) IS NOT DISTINCT FROM first_value(md5(text)) OVER w THEN 'exact_dup' ELSE 'near_dup' END AS status
 FROM (SELECT *, {dedup.FINGERPRINT_SQL.format(t="text")} AS fp FROM {source}) WINDOW w AS (PARTITION BY fp ORDER BY doc_id)"""
 
 
 @query(f"SELECT doc_id, status FROM ({_status_sql('documents')})")
 def dedup_status(spark, sf_dir):
-    return dedup.dedup_status(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "status")
+    return dedup.dedup_status(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "status")
 
 
 @query(f"SELECT status, count(*) AS n FROM ({_status_sql('documents')}) GROUP BY 1")
@@ -123,7 +125,7 @@ KEYWORDS = ["the", "sch", "tion", "une", "ción", "(x)"]
 
 @query("SELECT doc_id FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '(?i)the|sch|tion|une|ción|\\(x\\)')) >= 200")
 def keyword_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(clean.has_keywords(F.coalesce("text", F.lit("")), KEYWORDS, 200)).select("doc_id")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where(clean.has_keywords(F.coalesce("text", F.lit("")), KEYWORDS, 200)).select("doc_id")
 
 
 @query("SELECT doc_id, text FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '(?i)the|sch|tion|une|ción|\\(x\\)')) >= 2 ORDER BY doc_id LIMIT 25")
@@ -138,7 +140,7 @@ _BUDGET = f"SELECT doc_id, tokens, running FROM (SELECT *, CAST(sum(tokens) OVER
 
 
 def long_enough(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.held(T.strip(F.col("text"))).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.held(T.strip(F.col("text"))).alias("text"))
     return docs.where(F.length("text") >= 50)
 
 
@@ -344,13 +346,11 @@ def guide_lookup(spark, sf_dir):
 @query("SELECT count(DISTINCT text) AS texts, count(*) AS fingerprints FROM (SELECT DISTINCT fp, min(text) AS text FROM (SELECT text, " + dedup.FINGERPRINT_SQL.format(t="text") + " AS fp FROM documents) GROUP BY fp)")
 def stream_dedup(spark, sf_dir):
     """Documents as a stream, deduplicated by fingerprint; whichever comes first stays, so only numbers are the same in every run."""
-    import uuid
-
     from textloom.streaming import cleanse
 
     docs = table(spark, sf_dir, "documents")
     stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if _is_file(spark, f"{sf_dir}/documents.parquet") else cleanse.read(spark, f"{sf_dir}/documents.parquet", docs.schema, 8)
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    at = work_path(spark, "stream")
     cleanse.drain(stream.withColumn("fp", dedup.fingerprint(F.col("text"))).dropDuplicates(["fp"]).select("doc_id", "text", "fp"), f"{at}/out", f"{at}/state")
     return spark.read.schema("doc_id long, text string, fp string").parquet(f"{at}/out").agg(F.count_distinct("text").alias("texts"), F.count_distinct("fp").alias("fingerprints"))
 

@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import chat, clean, sample, tokens
 from textloom.plans.base import query
-from textloom.sources.tables import table
+from textloom.sources.tables import spread, table
 
 LENGTH = 256
 _IDS = "list_transform(string_split({0}, ''), lambda c: unicode(c) + 16)"
-def _wrapped_sql(cut: int) -> str:
-    return f"SELECT doc_id, list_concat(list_concat([1], list_slice({_IDS.format('t')}, 1, {cut})), [2]) AS ids FROM (SELECT doc_id, {T.sql_strip('text')} AS t FROM documents) WHERE length(t) >= 50"
 
 
+def _wrapped_sql(cut: int) -> str:
+    return f"SELECT doc_id, list_concat(list_concat([1], list_slice({_IDS.format('t')}, 1, {cut})), [2]) AS ids FROM (SELECT doc_id, {T.sql_strip('text')} AS t FROM documents) WHERE length(t) >= 50"
 
 
 def wrapped(spark, sf_dir, length: int):
     """Documents of 50 characters or more as ids between begin and end."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.held(T.strip(F.col("text"))).alias("t")).where(F.length("t") >= 50)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.held(T.strip(F.col("text"))).alias("t")).where(F.length("t") >= 50)
     return docs.select("doc_id", T.held(tokens.wrapped(tokens.code_points(F.col("t")), length)).alias("ids"))
 
 
@@ -66,7 +66,7 @@ _RENDER = "string_agg('<|im_start|>' || role || chr(10) || coalesce(text, '') ||
 
 
 def conversations(spark, sf_dir):
-    return chat.conversations(table(spark, sf_dir, "conversations"))
+    return chat.conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
 @query(f"SELECT conv_id, {_RENDER} || '<|im_start|>assistant' || chr(10) AS prompt FROM conversations GROUP BY 1")
@@ -147,7 +147,7 @@ def response_check(spark, sf_dir):
 
 
 _MARK = "CASE doc_id % 5 WHEN 0 THEN '12. ' WHEN 1 THEN '三、' WHEN 2 THEN '• ' WHEN 3 THEN '7）\"' ELSE '' END || split_part(text, chr(10), 1)"
-_BARE = f"regexp_replace(regexp_replace(regexp_replace({_STRIP(_MARK)}, '^\p{{Nd}}+[.)）、]{T.SQL_WS}*', ''), '^[一二三四五六七八九十]+[、.)]{T.SQL_WS}*', ''), '^[•\\-*]{T.SQL_WS}*', '')"
+_BARE = rf"regexp_replace(regexp_replace(regexp_replace({_STRIP(_MARK)}, '^\p{{Nd}}+[.)）、]{T.SQL_WS}*', ''), '^[一二三四五六七八九十]+[、.)]{T.SQL_WS}*', ''), '^[•\-*]{T.SQL_WS}*', '')"
 
 
 @query(f"""SELECT doc_id, CASE WHEN length(bare) >= 5 AND length(line) >= 5 THEN line END AS line FROM (SELECT doc_id, bare, {_STRIP("trim(bare, chr(34) || chr(39))")} AS line FROM (SELECT doc_id, {_STRIP(_BARE)} AS bare FROM documents))""")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from textloom.operators import sample
+
 CORRUPT = "_corrupt"
 
 
@@ -55,10 +57,7 @@ def line_at(df: DataFrame, number: int, order: str = "line_no") -> DataFrame:
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """Adds ``line_no`` from 0 in file order, by counts of the files' blocks."""
-    from pyspark.sql import Window
-
     counts = df.groupBy("file", "block").agg(F.count(F.lit(1)).alias("__n"))  # one row a block
-    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("file", "block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    offsets = sample.prefix_sum(counts.withColumn("__at", F.struct("file", "block")), "__at", "__n", "__end").select("file", "block", (F.col("__end") - F.col("__n")).alias("__before"))
     place = F.row_number().over(Window.partitionBy("file", "block").orderBy("place"))
-    return df.withColumn("__p", place).join(F.broadcast(offsets), ["file", "block"]).withColumn("line_no", F.col("__before") + F.col("__p") - 1).drop("__p", "__before")
+    return df.withColumn("__p", place).join(offsets, ["file", "block"]).withColumn("line_no", F.col("__before") + F.col("__p") - 1).drop("__p", "__before")
