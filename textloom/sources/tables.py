@@ -45,14 +45,25 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the work folder and reads it back: it is evaluated once, its shuffle files go, and lineage ends here."""
+def write(df: DataFrame, name: str, by: str | None = None) -> str:
+    """Writes ``df`` to the work folder, with a subfolder for each value of ``by``; returns the path. The shuffle files of the write go at its end."""
     spark = df.sparkSession
     path = work_path(spark, name)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the work folder and reads it back: it is evaluated once, and lineage ends here."""
+    return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    path, store = _path(spark, name)
+    store.delete(path, True)
