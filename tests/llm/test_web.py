@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,17 @@ def test_salvage_edges():
     assert [k for k, _ in read(b"WARC/1.0\r\nbroken")] == ["gap"]
 
 
+def test_salvage_is_linear():
+    """Megabytes of false starts: wrong lengths, version lines without a header, marks of members, a length beyond the file."""
+    good = records(1)[0]
+    wrong = good.replace(b"Content-Length: ", b"Content-Length: 9")
+    for junk in (wrong * 3000, b"WARC/1.0\r\n" * 100_000, warc.MAGIC * 300_000, b"WARC/1.1\r\nContent-Length: 900000000\r\n\r\n" * 25_000):
+        began = time.time()
+        found = read(junk + good)
+        assert [k for k, _ in found] == ["gap", "record"] and found[0][1]["end"] == len(junk)
+        assert time.time() - began < 15
+
+
 ROWS = [(5, "http://a", "<p>same</p>"), (2, "http://b", "<p>same</p>"), (9, None, None), (1, "http://c d\n", ""), (7, "http://e", "é" * 5000), (8, "http://f", "<p>same</p>"), (None, "http://g", "<p>own</p>")]
 
 

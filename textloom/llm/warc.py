@@ -5,7 +5,8 @@ files of its own in the shared folder and returns a manifest; files of lost atte
 
 Reading: a member counts when its gzip check, its version line, its Content-Length and its payload digest hold. After a failed check the
 reader looks for the next gzip member (or, in plain archives, the next version line) that holds, goes on from there, and logs the bytes
-between as a quarantined gap with its reason. It streams: memory is one record and one read block.
+between as a quarantined gap with its reason. It streams: memory is one record and two read blocks. A plain record's length is believed only
+if the record's end stands where it says, which is looked up in the file before the block is read.
 
 Cases: null html is an empty payload; null url becomes ``about:blank``; rows without id are written with an empty id; repeated rows with
 the smallest id of a payload are all responses; extra columns are ignored; an empty table makes no archive and no record.
@@ -38,12 +39,21 @@ ID = "urn:textloom:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
+MARK = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 #: Bytes of header that are read before a record counts as broken.
 MOST_HEADER = 1 << 16
+#: Bytes of a gzip member after which it is broken if nothing was unpacked: a false start may look like a name without end.
+MOST_SILENT = 1 << 13
+END = b"\r\n\r\n"
 
 
 def digest(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return base32(hashlib.sha1(payload).hexdigest())
+
+
+def base32(sha1: str) -> str:
+    """A hexadecimal digest in upper-case base 32."""
+    return base64.b32encode(bytes.fromhex(sha1)).decode()
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None, revisit: bool) -> bytes:
@@ -69,27 +79,37 @@ class Broken(ValueError):
     """A record that fails a check."""
 
 
-def parse(data: bytes) -> tuple[dict, int]:
-    """The record at the start of ``data`` and its length; raises Broken, or EOFError if more bytes are needed."""
-    if not VERSION.match(data):
-        raise Broken("no version line") if len(data) >= 10 else EOFError
-    end = data.find(b"\r\n\r\n")
+def header(data: bytes | bytearray, at: int = 0, more: bool = False) -> tuple[dict, int]:
+    """The fields of the record header at ``at`` and where its block begins; raises Broken, or EOFError if it is cut and ``more`` may come."""
+    if not VERSION.match(data, at):
+        if more and len(data) - at < 10:
+            raise EOFError
+        raise Broken("no version line")
+    end = data.find(END, at, at + MOST_HEADER)
     if end < 0:
-        raise Broken("no end of header") if len(data) > MOST_HEADER else EOFError
+        if more and len(data) - at < MOST_HEADER:
+            raise EOFError
+        raise Broken("no end of header")
     head = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in bytes(data[at:end]).split(b"\r\n")[1:]:
         k, colon, v = line.partition(b":")
         if not colon:
             raise Broken("bad header line")
         head[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
-    if not re.fullmatch(r"\d+", head.get("content-length", "")):
+    if not re.fullmatch(r"[0-9]{1,18}", head.get("content-length", "")):
         raise Broken("no content length")
-    stop = end + 4 + int(head["content-length"])
-    if len(data) < stop + 4:
-        raise EOFError
-    if data[stop : stop + 4] != b"\r\n\r\n":
+    return head, end + 4
+
+
+def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
+    """The record at ``at`` of ``data`` and where it ends; raises Broken."""
+    head, begin = header(data, at)
+    stop = begin + int(head["content-length"])
+    if stop + 4 > len(data):
+        raise Broken("record cut short")
+    if data[stop : stop + 4] != END:
         raise Broken("wrong content length")
-    return _checked(head, data[end + 4 : stop]), stop + 4
+    return _checked(head, bytes(data[begin:stop])), stop + 4
 
 
 def _checked(head: dict, block: bytes) -> dict:
@@ -107,10 +127,10 @@ def _checked(head: dict, block: bytes) -> dict:
 
 
 class Stream:
-    """A file's bytes from ``at`` on, held in ``data``."""
+    """A seekable file's bytes; ``data`` holds them from ``base`` on, and ``at`` is the place in ``data`` that is read next."""
 
     def __init__(self, source):
-        self.source, self.data, self.at, self.done = source, b"", 0, False
+        self.source, self.data, self.at, self.base, self.done = source, bytearray(), 0, 0, False
 
     def more(self) -> bool:
         block = b"" if self.done else self.source.read(READ_BYTES)
@@ -118,76 +138,109 @@ class Stream:
         self.data += block
         return not self.done
 
+    def has(self, n: int) -> bool:
+        """Whether ``n`` bytes from ``at`` on are there; reads what is needed."""
+        while len(self.data) - self.at < n and self.more():
+            pass
+        return len(self.data) - self.at >= n
+
+    def peek(self, far: int, n: int) -> bytes:
+        """``n`` bytes that begin ``far`` after ``at``, without holding those between."""
+        if self.at + far + n <= len(self.data):
+            return bytes(self.data[self.at + far : self.at + far + n])
+        back = self.source.tell()
+        self.source.seek(self.base + self.at + far)
+        found = self.source.read(n)
+        self.source.seek(back)
+        return found
+
     def skip(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        """Goes on by ``n``; bytes that are past go once a read block of them is there."""
+        self.at += n
+        if self.at >= READ_BYTES:
+            del self.data[: self.at]
+            self.base, self.at = self.base + self.at, 0
+
+    @property
+    def place(self) -> int:
+        return self.base + self.at
 
 
 def _member(stream: Stream) -> tuple[bytes, int]:
-    """The gzip member at the start of the stream, unpacked, and its packed length."""
-    z, out, fed = zlib.decompressobj(31), [], 0
+    """The gzip member at the stream's place, unpacked, and its packed length."""
+    z, out, fed, size = zlib.decompressobj(31), [], stream.at, 256
     while not z.eof:
         if fed == len(stream.data) and not stream.more():
             raise Broken("member cut short")
-        block = stream.data[fed:]
-        fed = len(stream.data)
+        block = bytes(stream.data[fed : fed + size])
+        fed, size = fed + len(block), min(2 * size, READ_BYTES)  # a false start mostly shows at once
         try:
             out.append(z.decompress(block))
         except zlib.error as e:
             raise Broken(f"gzip: {str(e)[:60]}") from None
-    return b"".join(out), fed - len(z.unused_data)
+        if not any(out) and fed - stream.at > MOST_SILENT:
+            raise Broken("gzip: no data after the header")
+        if not out[-1]:
+            out.pop()
+    return b"".join(out), fed - len(z.unused_data) - stream.at
 
 
 def _next(stream: Stream) -> tuple[list[dict], int]:
     """The records of the next member, or the next plain record, and its length; raises Broken."""
-    while len(stream.data) < 10 and stream.more():
-        pass
-    if stream.data.startswith(MAGIC):
+    stream.has(10)
+    if stream.data.startswith(MAGIC, stream.at):
         data, n = _member(stream)
-        found = []
-        while data:
-            try:
-                one, size = parse(data)
-            except EOFError:
-                raise Broken("record cut short") from None
+        found, at = [], 0
+        while at < len(data):
+            one, at = parse(data, at)
             found.append(one)
-            data = data[size:]
         return found, n
     while True:
         try:
-            one, n = parse(stream.data)
-            return [one], n
+            head, begin = header(stream.data, stream.at, not stream.done)
+            break
         except EOFError:
-            if not stream.more():
-                raise Broken("record cut short") from None
+            stream.more()
+    begin -= stream.at
+    size = int(head["content-length"])
+    if stream.peek(begin + size, 4) != END:
+        raise Broken("wrong content length")
+    stream.has(begin + size + 4)
+    return [_checked(head, bytes(stream.data[stream.at + begin : stream.at + begin + size]))], begin + size + 4
+
+
+def _find(stream: Stream) -> None:
+    """Goes on to the next place that may begin a record, or to the end."""
+    while True:
+        found = MARK.search(stream.data, stream.at)
+        if found:
+            at = found.start()
+            del found  # a match holds the buffer
+            return stream.skip(at - stream.at)
+        stream.skip(max(0, len(stream.data) - stream.at - 9))  # the last bytes may begin a mark
+        if not stream.more():
+            return stream.skip(len(stream.data) - stream.at)
 
 
 def salvage(source) -> Iterator[tuple[str, dict]]:
-    """Yields ``("record", fields)`` and ``("gap", {start, end, reason})`` in file order."""
+    """Yields ``("record", fields)`` and ``("gap", {start, end, reason})`` in file order from a seekable file."""
     stream, gap, reason = Stream(source), None, ""
-    while stream.data or stream.more():
+    while stream.has(1):
         try:
             found, n = _next(stream)
         except Broken as e:
             if gap is None:
-                gap, reason = stream.at, str(e)
+                gap, reason = stream.place, str(e)
             stream.skip(1)
-            while True:
-                places = [p for p in (stream.data.find(MAGIC), stream.data.find(b"WARC/1.")) if p >= 0]
-                if places:
-                    stream.skip(min(places))
-                    break
-                stream.skip(max(0, len(stream.data) - 9))
-                if not stream.more():
-                    stream.skip(len(stream.data))
-                    break
+            _find(stream)
             continue
         if gap is not None:
-            yield "gap", {"start": gap, "end": stream.at, "reason": reason}
+            yield "gap", {"start": gap, "end": stream.place, "reason": reason}
             gap = None
         stream.skip(n)
         yield from (("record", x) for x in found)
     if gap is not None:
-        yield "gap", {"start": gap, "end": stream.at, "reason": reason}
+        yield "gap", {"start": gap, "end": stream.place, "reason": reason}
 
 
 _MANIFEST = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
@@ -201,12 +254,12 @@ def _write(folder: str):
             store, top = fs.FileSystem.from_uri(folder)
             store.create_dir(top, recursive=True)
             out, name, records, size = None, "", 0, 0
-            for part in parts:
+            for part in work.pieces(parts):
                 for page_id, url, sha1, head, revisit, html in zip(*(c.to_pylist() for c in part.columns[:-1]), work.utf8(part.columns[-1]), strict=True):
                     if out is None:
                         name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                         out = store.open_output_stream(f"{top}/{name}", compression=None)
-                    data = member(record(page_id, url, html, sha1, head, revisit))
+                    data = member(record(page_id, url, html, base32(sha1), head, revisit))
                     out.write(data)
                     records, size = records + 1, size + len(data)
                     if size >= ROLL_BYTES:
@@ -222,30 +275,23 @@ def _write(folder: str):
     return run
 
 
-def _digests(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        found = [(len(x), digest(x)) for x in work.utf8(part.column("html"))]
-        yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array([x[1] for x in found], pa.string()), pa.array([x[0] for x in found], pa.int64()), part.column("html")], names=["page_id", "url", "payload_digest", "payload_bytes", "html"])
-
-
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Writes a record for each page to archives under ``folder``; returns the manifest (path, records, bytes)."""
-    work.prepare(pages.sparkSession)
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", work.text_of("html").alias("html"))
-    hashed = own.mapInArrow(_digests, "page_id long, url string, payload_digest string, payload_bytes long, html string")
-    heads = hashed.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("head"))
+    own = work.spread(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", work.text_of("html").alias("html")))
+    hashed = own.withColumn("sha1", F.sha1("html"))
+    heads = hashed.where(F.octet_length("html") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("head"))
     revisit = F.coalesce(F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head")), F.lit(False))
-    decided = hashed.join(heads, "payload_digest", "left").select("page_id", "url", "payload_digest", "head", revisit.alias("revisit"), "html")
+    decided = hashed.join(heads, "sha1", "left").select("page_id", "url", "sha1", "head", revisit.alias("revisit"), "html")
     return work.keep(decided.mapInArrow(_write(folder), "path string, records long, bytes long"), "warc-manifest")[0]
 
 
 def _read(payloads: bool):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for part in parts:
+            for part in work.pieces(parts):
                 for path in part.column(0).to_pylist():
                     store, name = fs.FileSystem.from_uri(path)
-                    with store.open_input_stream(name, compression=None) as source:
+                    with store.open_input_file(name) as source:
                         for kind, x in salvage(source):
                             if kind == "gap":
                                 yield kind, path, None, None, None, None, None, None, None, x["start"], x["end"], x["reason"]
@@ -258,9 +304,9 @@ def _read(payloads: bool):
 
 
 def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
-    """Records and quarantined gaps of the archives named in column ``path``, an archive to a task."""
+    """Records and quarantined gaps of the archives named in column ``path``, which are dealt out evenly to as many tasks as shuffles have."""
     n = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return paths.select("path").repartition(n, "path").mapInArrow(_read(payloads), _READ_DDL)
+    return paths.select("path").repartition(n).mapInArrow(_read(payloads), _READ_DDL)
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
