@@ -37,8 +37,18 @@ def test_exact_edges(spark, empty):
     odd = spark.createDataFrame([(None, "x"), (None, "y"), (4, "y"), (4, "y"), (9, None)], "doc_id long, text string").withColumns({"key": F.lit(1), "owner": F.lit("o"), "text_sha256": F.lit("s")})
     got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(odd).collect()), key=str)
     assert got == sorted([(None, None, 1, True), (None, 4, 3, False), (4, 4, 3, True), (4, 4, 3, True), (9, 9, 1, True)], key=str)
+    odd = odd.withColumns({"name": F.lit("n"), "Name_": F.lit("m"), "staying": F.lit(0)})
     kept = exact_dedup.drop_copies(odd)
-    assert kept.columns == odd.columns and kept.count() == 4
+    assert kept.columns == odd.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(4, "y"), (9, None), (None, "x")]
+    assert exact_dedup.drop_copies(empty).count() == 0
+
+
+def test_exact_hot_owner(docs, rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "PROBE_ROWS", 3)
+    monkeypatch.setattr(exact_dedup, "FLUSH_BYTES", 500)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(docs).collect()}
+    assert got == exact_brute(rows)
 
 
 def test_index_splits_and_chains():
@@ -47,6 +57,11 @@ def test_index_splits_and_chains():
     for k in keys:
         assert index.put(k, "", b"%d" % k, k, 1)
     assert not index.put(keys[3], "", b"%d" % keys[3], -1, 2)
+    stored = exact_dedup.StoredIndex()
+    for bucket in index.buckets():
+        stored.load(bucket.pattern, np.array([(k, np.arange(32), e[2], e[3]) for k, chain in bucket.chains.items() for e in chain], exact_dedup._ENTRY).tobytes())
+    stored.load(-1, np.array([b.pattern for b in index.slots], "<i8").tobytes())
+    assert stored.get(keys[3], bytes(range(32))) == (-1, 3) and stored.get(keys[9], bytes(range(32))) == (keys[9], 1)
     for n in range(20):  # one key, different bytes: a chain that no split can part
         assert index.put(7, "", b"other %d" % n, n, 1)
     assert index.depth >= 6 and len(index.slots) == 1 << index.depth

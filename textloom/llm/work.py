@@ -1,67 +1,46 @@
-"""Shared-folder work tables, bucketed exchanges and Arrow output for the llm operators."""
+"""Shared-folder work tables, bucketed exchanges and Arrow batches for the llm operators."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch sent to Python; with texts of 100 KB a batch stays near 50 MB.
+from textloom.sources import tables
+from textloom.sources.tables import shared_dir, spread, work_path
+
+__all__ = ["ARROW_ROWS", "BUCKET_BYTES", "batches", "buckets", "fresh", "keep", "keep_by", "pieces", "release", "shared_dir", "spread", "text_of", "utf8", "work_path"]
+
+#: Rows of an Arrow batch that are turned into Python objects at once; Spark bounds the batch itself by ``spark.sql.execution.arrow.maxBytesPerBatch``.
 ARROW_ROWS = 512
 #: Input bytes that one bucket of an exchange is planned for.
 BUCKET_BYTES = 64 << 20
-#: Most buckets of one exchange.
-MOST_BUCKETS = 200_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="textloom-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
 
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-
-def prepare(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that reach Python."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def pieces(parts: Iterable[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, without copies."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
 
 
 def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    """Writes ``df`` to the work folder and reads it back; also its path, for ``release``."""
+    path = tables.write(df, name)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def keep_by(df: DataFrame, name: str, column: str) -> str:
-    """Writes ``df`` to the shared folder, a subfolder for each value of ``column``; returns the path."""
-    path = work_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").partitionBy(column).parquet(path)
-    return path
+    """Writes ``df`` to the work folder, a subfolder for each value of ``column``; returns the path."""
+    return tables.write(df, name, column)
 
 
 def release(spark: SparkSession, *paths: str) -> None:
-    """Deletes work tables that no later step reads and lets Spark drop the shuffle files of finished jobs."""
-    jvm = spark.sparkContext._jvm
+    """Deletes work tables that no later step reads; what is left goes with the application."""
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+        tables.delete(spark, p)
 
 
 def buckets(df: DataFrame) -> int:
@@ -69,7 +48,15 @@ def buckets(df: DataFrame) -> int:
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(MOST_BUCKETS, size // BUCKET_BYTES)) if size < 1 << 60 else least
+    return max(least, size // BUCKET_BYTES) if size < 1 << 60 else least
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def batches(schema: pa.Schema, rows: Iterable[tuple], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -96,4 +83,4 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def text_of(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit("")).alias(name)
+    return F.coalesce(F.col(f"`{name}`"), F.lit("")).alias(name)
