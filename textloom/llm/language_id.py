@@ -5,11 +5,11 @@ bit from those that have not; its margin is the mean log-odds of a text's n-gram
 least loss, each bit's exponential loss weighted by how well that bit's classifier does on that language, and a text whose two best
 languages are close is flagged as ambiguous.
 
-The classifiers are fitted on the driver from at most ``SAMPLE_DOCS`` documents of each language, drawn by a hash of the id; every text is
-judged whole.
+The classifiers are fitted on the driver from a bounded sample, drawn by a hash of id and text: of the ``MOST_LANGS`` languages with the most documents, at most ``SAMPLE_DOCS`` documents
+each, of at most ``LONGEST`` bytes each and about ``SAMPLE_BYTES`` together. Every text is judged whole.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; if no language can be learned every text is ``und``, if one, every text with a letter
-has it; rows with a null language are judged but not learned from; rows without id are not learned from and not held out; repeated rows give repeated rows;
+has it; rows with a null language are judged but not learned from; rows without id are not learned from and not held out; repeated rows give repeated rows, and are learned from once;
 extra columns are ignored.
 """
 
@@ -28,6 +28,10 @@ from textloom.llm import work
 
 #: Documents of a language that the classifiers are fitted on.
 SAMPLE_DOCS = 300
+#: Bytes of a document that is learned from, and of a language's documents, after which no more are drawn.
+LONGEST, SAMPLE_BYTES = 256 << 10, 2 << 20
+#: Languages that are learned, those with the most documents first.
+MOST_LANGS = 100
 FOLDS = 5
 BITS = 16
 ORDERS = (2, 3, 4)
@@ -125,17 +129,20 @@ def held_out(column: str = "doc_id"):
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fits a model on the rows that are not held out."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    usable = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.octet_length("text").between(1, LONGEST) & ~held_out()
+    rows = work.spread(docs.select("doc_id", "lang", "text")).where(usable).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     # a hash keeps about three times the sample of each language, so that what is ranked does not grow with the input
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
     if not counts:
         return fit([])
     least = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, math.ceil(min(1.0, 3 * sample_docs / n) * (1 << 30)))))
-    near = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.element_at(least, F.col("lang")))
-    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = near.select("doc_id", "lang", F.row_number().over(drawn).alias("place")).where(F.col("place") <= sample_docs)
-    chosen = [r.doc_id for r in ids.select("doc_id").distinct().collect()]  # at most sample_docs for each language
-    return fit([(r.lang, r.text) for r in rows.where(F.col("doc_id").isin(chosen)).select("lang", "text").collect()] if chosen else [])
+    near = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.try_element_at(least, F.col("lang")))
+    near = near.select("lang", "h", F.octet_length("text").alias("size")).distinct()  # a row that is repeated counts once
+    drawn = Window.partitionBy("lang").orderBy("h")
+    ranked = near.select("lang", "h", F.row_number().over(drawn).alias("place"), (F.sum("size").over(drawn.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("before"))
+    chosen = [r.h for r in ranked.where((F.col("place") <= sample_docs) & (F.col("before") < SAMPLE_BYTES)).select("h").collect()]  # at most sample_docs for each language
+    found = rows.where(F.col("h").isin(chosen)).dropDuplicates(["lang", "h"]).select("lang", "text").collect() if chosen else []
+    return fit([(r.lang, r.text) for r in found])
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
@@ -151,17 +158,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             ids, held, texts = (c.to_pylist() for c in part.columns)
             yield from work.batches(_OUT, ((i, h, *shared.value.predict(t)) for i, h, t in zip(ids, held, texts, strict=True)))
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
+    own = work.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text"))
     return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents in a learned language, with all their columns; those without a language go.
+    """The documents in a learned language, with all their columns; those without a letter go, whatever could be learned.
 
-    The rows themselves pass through, so repeated or missing ids do no harm.
+    The rows themselves pass through, so repeated or missing ids do no harm. A document is not rejected for a low score: texts that mix languages score low and are clean.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(train(docs))
+    model = train(docs)
+    shared = spark.sparkContext.broadcast(model if model.langs else fit([("any", "a")]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in work.pieces(parts):
