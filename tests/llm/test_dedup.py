@@ -156,6 +156,15 @@ def test_remove_repeats_edges(spark, empty):
     assert got == [(1, 180, 0), (1, 180, 0), (7, 0, 0), (None, 180, 180)]
 
 
+def test_rows_without_id_are_dealt_out(spark):
+    texts = ["".join(chr(97 + (i * j * j + j) % 26) for j in range(150)) for i in range(3, 40)]
+    odd = spark.createDataFrame([(None, t) for t in texts] + [(3, t) for t in texts], "doc_id long, text string")
+    got = [(r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(odd).collect()]
+    assert sum(n for i, n in got if i is None) == 150 * len(texts)
+    tags = np.array([hash(t) & ((1 << 63) - 1) for t in texts], np.uint64)
+    assert len(set(suffix_dedup.bucket_of(np.full(len(texts), suffix_dedup.NO_ID), tags, 8).tolist())) > 4
+
+
 def test_hot_anchors_fit_a_bound(spark):
     blobs = [("hot", 0, suffix_dedup.dump(np.arange(400 * i, 400 * i + 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(400) + 10)) for i in range(5)]
     runs = spark.createDataFrame(blobs, "kind string, bucket int, blob binary")

@@ -65,13 +65,14 @@ def load(blob: bytes) -> tuple:
     return pickle.loads(zstandard.decompress(blob))
 
 
-def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
-    return ((shingles.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
 def shard_of(anchors: np.ndarray, n: int) -> np.ndarray:
     """Anchors are least hashes, so small ones are the most: they are mixed again."""
-    return bucket_of(anchors.view(np.int64), n)
+    return ((shingles.mix(anchors) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def bucket_of(docs: np.ndarray, tags: np.ndarray, n: int) -> np.ndarray:
+    """A document's bucket, by its id and its text's hash: documents that share an id, or have none, are dealt out too."""
+    return shard_of(shingles.mix(docs.astype(np.int64).view(np.uint64)) ^ tags.astype(np.uint64), n)
 
 
 def chunks(docs: list[tuple[int, int, bytes]], size: int = FLUSH_BYTES, length: int = LENGTH) -> Iterator[list[tuple[int, int, bytes, int]]]:
@@ -173,7 +174,7 @@ def _anchors(n: int, flush: int):
                 again = count[back] > 1
                 known, once, told = found[again], found[~again], found[at[count > 1]]
                 told["n"] = count[count > 1]
-                yield from _split("known", known, bucket_of(known["doc"], n))
+                yield from _split("known", known, bucket_of(known["doc"], known["tag"], n))
                 yield from _split("once", once, shard_of(once["anchor"], n))
                 yield from _split("told", told, shard_of(told["anchor"], n))
 
@@ -207,7 +208,7 @@ def _repeated(n: int, hot: int):
             again = (np.concatenate((same, [False])) | np.concatenate(([False], same)))[: len(a)]
             again |= np.isin(a, told)
             asked = asked[again]
-            yield from _split("runs", asked, bucket_of(asked["doc"], n))
+            yield from _split("runs", asked, bucket_of(asked["doc"], asked["tag"], n))
 
         yield from work.batches(_BLOB, rows())
 
@@ -240,14 +241,18 @@ def hot_anchors(runs: DataFrame, least: int, most: int = MOST_HOT) -> np.ndarray
 
 
 def _texts(n: int, flush: int):
-    """Documents by bucket, packed."""
+    """Documents by bucket, packed; those of a batch that share id and text once, with their number."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for docs in _batched(parts, flush):
-                place = bucket_of(np.array([d[0] for d in docs], np.int64), n)
+                times: dict[tuple[int, int], list] = {}
+                for doc, tag, text in docs:
+                    times.setdefault((doc, tag), [text, 0])[1] += 1
+                place = bucket_of(np.array([d for d, _ in times], np.int64), np.array([t for _, t in times], np.uint64), n)
+                own = [(*key, *x) for key, x in times.items()]
                 for b in np.unique(place):
-                    yield "texts", int(b), dump([docs[i] for i in np.flatnonzero(place == b)])
+                    yield "texts", int(b), dump([own[i] for i in np.flatnonzero(place == b)])
 
         yield from work.batches(_BLOB, rows())
 
@@ -281,8 +286,8 @@ def _segments(n: int, shared):
             by_bucket: dict[int, list] = {}
             docs: dict[tuple[int, int], list] = {}
             for blob in found.pop("texts", []):
-                for doc, tag, text in load(blob)[0]:
-                    docs.setdefault((doc, tag), [text, 0])[1] += 1
+                for doc, tag, text, times in load(blob)[0]:
+                    docs.setdefault((doc, tag), [text, 0])[1] += times
             runs = np.concatenate([np.zeros(0, RUN), *(_rows(load(b)) for b in found.pop("runs", []))])
             runs = single(runs, np.isin(runs["anchor"], shared.value))
             runs = runs[np.lexsort((runs["start"], runs["tag"], runs["doc"]))]
@@ -312,9 +317,9 @@ def _segments(n: int, shared):
                 at = order[a:b]
                 yield "segments", int(shard[at[0]]), dump(own[at], b"".join(segments[i] for i in at))
             gone = runs[repeat]
-            yield from _split("gone", gone, bucket_of(gone["doc"], n))
+            yield from _split("gone", gone, bucket_of(gone["doc"], gone["tag"], n))
             for (doc, tag), (text, times) in docs.items():
-                b = int(bucket_of(np.array([doc]), n)[0])
+                b = int(bucket_of(np.array([doc]), np.array([tag], np.uint64), n)[0])
                 may = (doc, tag) in touched
                 by_bucket.setdefault(b, []).append((doc, tag, times, len(text), text if may else hashlib.sha256(text).hexdigest(), may))
             for b, own_docs in by_bucket.items():
@@ -416,13 +421,13 @@ def _sorted(n: int, most: int):
                 size += len(segment)
             yield from emit(table[held], texts)
             gone = table[repeat]
-            yield from _split("gone", gone, bucket_of(gone["doc"], n))
+            yield from _split("gone", gone, bucket_of(gone["doc"], gone["tag"], n))
 
         def emit(runs, texts):
             if len(texts) > 1:
                 order = np.lexsort((runs["start"], runs["tag"], runs["doc"]))
                 gone = repeats(runs[order], [texts[i] for i in order])
-                yield from _split("gone", gone, bucket_of(gone["doc"], n))
+                yield from _split("gone", gone, bucket_of(gone["doc"], gone["tag"], n))
 
         yield from work.batches(_BLOB, rows())
 
@@ -469,9 +474,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
     n = work.buckets(docs)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), work.text_of(text_col).alias("text"))
+    own = work.spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), work.text_of(text_col).alias("text")))
     runs, run_path = work.keep(own.mapInArrow(_anchors(n, flush), _BLOB_DDL).repartitionById(n, "bucket").mapInArrow(_repeated(n, hot), _BLOB_DDL), "suffix-runs")
-    work.release(spark)
     shared = spark.sparkContext.broadcast(hot_anchors(runs, hot))
     # no step's frame is held by a name, so that its shuffle files can go before the next step writes its own
     path = work.keep_by(own.mapInArrow(_texts(n, flush), _BLOB_DDL).unionByName(runs.where("kind = 'runs'")).repartitionById(n, "bucket").mapInArrow(_segments(n, shared), _BLOB_DDL), "suffix-parts", "kind")
