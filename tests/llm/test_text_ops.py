@@ -1,5 +1,6 @@
 """Licence scan, URL filter, decontamination, packing and language ID against plain Python versions."""
 
+import math
 import random
 import re
 import zlib
@@ -105,6 +106,56 @@ def test_url_trees_learn(spark):
     assert right > 0.97
 
 
+def lexical_brute(url):
+    host, path, *_ = rule_brute(url)
+    entropy = lambda t: -sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t)) if t else 0.0
+    query = m[1] if (m := re.search(r"\?([^#]*)", url)) else ""
+    digits = sum(c in "0123456789" for c in url) / max(len(url), 1)
+    return [len(url), len(host), len(path), path.count("/"), digits, entropy(url), entropy(host), query.count("&") + 1 if query else 0, host.count("."), host.count("-"), int("#" in url)]
+
+
+def test_url_trees_against_brute_force(spark, monkeypatch):
+    """Features, suffix shares and the walk through every tree, by plain Python."""
+    grown = []
+    grow = url_filter.grow
+    monkeypatch.setattr(url_filter, "grow", lambda *x: grown.append(grow(*x)) or grown[-1])
+    rng = random.Random(5)
+    urls = [u for u in URLS if u] + [f"http{'s' * rng.randrange(2)}://{rng.choice('ab')}{rng.randrange(99)}.{rng.choice(['x.com', 'y.net', 'z.co.uk'])}/{'p/' * rng.randrange(4)}{rng.randrange(9999)}{'?a=1&b=2' * rng.randrange(2)}" for _ in range(400)]
+    rows = [(u, "y.net" in u or len(u) % 7 == 0) for u in urls for _ in range(rng.choice([1, 1, 3]))]
+    scored = url_filter.fit(spark.createDataFrame(rows, "url string, blocked boolean"))(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    base, trees = grown[0]
+    buckets = {r.url: (r.suffix1, r.suffix2) for r in scored}
+    seen = {}
+    for u, b in rows:
+        for k in buckets[u]:
+            n = seen.setdefault(k, [0, 0])
+            n[0], n[1] = n[0] + 1, n[1] + b
+    overall = (sum(n[1] for n in seen.values()) + 1) / (sum(n[0] for n in seen.values()) + 2)
+
+    def walk(tree, x):
+        while not isinstance(tree, float):
+            tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    for r in scored:
+        x = lexical_brute(r.url)
+        assert [round(r[f"f{i}"], 9) for i in range(url_filter.LEXICAL)] == [round(v, 9) for v in x]
+        x += [(seen[k][1] + 8 * overall) / (seen[k][0] + 8) for k in buckets[r.url]]
+        assert [round(r[f"f{url_filter.LEXICAL + i}"], 9) for i in range(2)] == [round(v, 9) for v in x[-2:]]
+        x = [r[f"f{i}"] for i in range(url_filter.LEXICAL + 2)]
+        assert abs(r.score - 1 / (1 + math.exp(-base - sum(walk(t, x) for t in trees)))) < 1e-9
+
+
+def test_url_sample_merges_copies(spark):
+    """A labelled url with most of the rows does not fill the sample."""
+    rows = [("http://hot.org/a", True)] * 500 + [(f"http://site{i}.org/{'x' * 30 if i % 2 else 'y'}", bool(i % 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "url string, blocked boolean")
+    out = url_filter.fit(df, sample_rows=100)(df).where("url <> 'http://hot.org/a'")
+    assert out.where("(score >= 0.5) = blocked").count() > 190
+    right, most = url_filter.held_out_accuracy(df)
+    assert right > 0.9 and 0.5 <= most < 1
+
+
 def edit_distance(item, text):
     """The least edits of the item to any part of the text."""
     row = [0] * (len(text) + 1)

@@ -1,10 +1,12 @@
 """URL filter: a rule list first, gradient-boosted trees on lexical features for the rest.
 
 Features, all of them column expressions: lengths, path depth, digit ratio, character entropy, numbers of parameters, labels and hyphens, and
-suffix statistics (the smoothed share of blocked URLs among labelled ones with the same last one or two host labels). Trees are grown on the
-driver from at most ``SAMPLE_ROWS`` labelled URLs, drawn by a hash, and become one column expression: scoring runs in generated code.
+suffix statistics: the smoothed share of blocked URLs among all labelled ones whose last one or two host labels hash to the same of ``SUFFIX_BUCKETS`` buckets, a table of that many rows.
+Trees are grown on the driver from about ``SAMPLE_ROWS`` distinct labelled URLs, drawn by a hash and weighted by the logarithm of their rows, and become one column expression: scoring runs
+in generated code.
 
-Labelled URLs are a table (url, blocked); without one, the URLs that the rules decide are the labelled ones.
+Labelled URLs are a table (url, blocked). Without one, the URLs that the rules decide are the labelled ones: the trees then carry the rules' verdicts over to URLs that look alike, and
+know no more than that; ``held_out_accuracy`` tells how well they repeat labels that they have not seen.
 
 Cases: a null url, or one without ``://``, has empty host and path and fits no rule; with no labelled URL, or labels of one kind only, the method gives
 that kind (allow if none); ties between rules of one length go to the first; repeated rows give repeated rows; extra columns are ignored.
@@ -18,13 +20,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm import work
+
 #: The contract's rules: (verdict, host suffix and path).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-#: Labelled URLs that the trees are grown on.
+#: Distinct labelled URLs that the trees are grown on.
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, LEAST_ROWS, RIDGE = 24, 3, 0.3, 32, 20, 1.0
-#: Suffixes that get a statistic of their own: the most frequent ones of the sample.
-SUFFIXES = 200
+#: Buckets of the suffix statistics.
+SUFFIX_BUCKETS = 1 << 14
+#: Rows of the overall share that every bucket's share is smoothed with.
+PRIOR = 8
+#: Folds of labelled URLs.
+FOLDS = 5
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,7 +73,7 @@ def _count(text: Column, chars: str) -> Column:
 
 
 def features(df: DataFrame) -> DataFrame:
-    """Adds host, path, suffixes and ``f0``..: the lexical features of column ``url``."""
+    """Adds host, path, the buckets of its suffixes and ``f0``..: the lexical features of column ``url``."""
     url = F.coalesce(F.col("url"), F.lit(""))
     df = df.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     host, path = F.col("host"), F.col("path")
@@ -74,39 +82,47 @@ def features(df: DataFrame) -> DataFrame:
         F.length(url), F.length(host), F.length(path), _count(path, "/"), _count(url, "0123456789") / F.greatest(F.length(url), F.lit(1)), _entropy(url), _entropy(host),
         F.when(query == "", F.lit(0)).otherwise(_count(query, "&") + 1), _count(host, "."), _count(host, "-"), F.locate("#", url).cast("boolean").cast("int"),
     ]
-    suffixes = {"suffix1": F.substring_index(host, ".", -1), "suffix2": F.substring_index(host, ".", -2)}
+    suffixes = {f"suffix{k}": F.pmod(F.xxhash64(F.lit(k), F.substring_index(host, ".", -k)), F.lit(SUFFIX_BUCKETS)).cast("int") for k in (1, 2)}
     return df.withColumns({f"f{i}": v.cast("double") for i, v in enumerate(values)} | suffixes)
 
 
 LEXICAL = 11
 
 
-class Suffixes:
-    """Smoothed share of blocked URLs for each frequent suffix of the labelled sample; others get the overall share."""
+def fold_of(folds: int = FOLDS) -> Column:
+    return F.pmod(F.xxhash64("url", F.lit(6)), F.lit(folds)).cast("int")
+
 
-    def __init__(self, suffixes: list[str], blocked: np.ndarray):
-        self.base = float((blocked.sum() + 1) / (len(blocked) + 2))
-        seen: dict[str, list[int]] = {}
-        for s, b in zip(suffixes, blocked, strict=True):
-            n = seen.setdefault(s, [0, 0])
-            n[0] += 1
-            n[1] += int(b)
-        often = sorted(seen, key=lambda s: (-seen[s][0], s))[:SUFFIXES]
-        self.share = {s: (seen[s][1] + 8 * self.base) / (seen[s][0] + 8) for s in often}
+def suffix_shares(labelled: DataFrame) -> tuple[DataFrame, float]:
+    """(bucket, fold, share) of the labelled URLs (suffix1, suffix2, fold, blocked, n) by bucket of either suffix, and the overall share.
 
-    def values(self, suffixes: list[str]) -> np.ndarray:
-        return np.array([self.share.get(s, self.base) for s in suffixes])
+    A fold's row leaves the URLs of that fold out: with it the trees are grown, so that no URL sees its own label. Fold -1 leaves none out.
+    """
+    either = labelled.select(F.explode(F.array("suffix1", "suffix2")).alias("bucket"), "fold", F.col("blocked").cast("long").alias("b"), "n")
+    counts, _ = work.keep(either.groupBy("bucket", "fold").agg(F.sum("n").alias("n"), F.sum(F.col("b") * F.col("n")).alias("b")), "url-suffixes")  # SUFFIX_BUCKETS * FOLDS rows at most
+    every = counts.groupBy("bucket").agg(F.sum("n").alias("all"), F.sum("b").alias("bad"))
+    total = every.agg(F.sum("all").alias("n"), F.sum("bad").alias("b")).first()
+    base = (total.b + 1) / (total.n + 2) if total.n else 0.5
+    share = lambda b, n: ((b + PRIOR * base) / (n + PRIOR)).alias("share")
+    without = counts.join(F.broadcast(every), "bucket").select("bucket", "fold", share(F.col("bad") - F.col("b"), F.col("all") - F.col("n")))
+    return without.unionByName(every.select("bucket", F.lit(-1).alias("fold"), share(F.col("bad"), F.col("all")))), base
 
-    def column(self, suffix: Column) -> Column:
-        table = F.create_map(*(F.lit(x) for pair in self.share.items() for x in pair))
-        return F.coalesce(F.try_element_at(table, suffix), F.lit(self.base))
 
+def with_shares(df: DataFrame, shares: DataFrame, base: float, folds: bool = False) -> DataFrame:
+    """Adds the features that come from the suffix statistics; with ``folds``, those without the URL's own fold."""
+    for k in (1, 2):
+        own = shares.select(F.col("bucket").alias(f"suffix{k}"), "fold", F.col("share").alias(f"__share{k}"))
+        own = own if folds else own.where("fold = -1").drop("fold")
+        df = df.join(F.broadcast(own), [f"suffix{k}", "fold"] if folds else f"suffix{k}", "left").withColumn(f"f{LEXICAL + k - 1}", F.coalesce(f"__share{k}", F.lit(base))).drop(f"__share{k}")
+    return df
 
-def grow(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
+
+def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, list]:
     """Boosted trees for logistic loss: the base score and nested (feature, cut, left, right) or leaf values."""
+    weight = np.ones(len(y)) if weight is None else weight
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
-    p = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    p = min(max(float(np.average(y, weights=weight)), 1e-3), 1 - 1e-3)
     base = math.log(p / (1 - p))
     score, trees = np.full(len(y), base), []
 
@@ -131,7 +147,7 @@ def grow(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
 
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
-        trees.append(node(np.arange(len(y)), p - y, p * (1 - p), DEPTH))
+        trees.append(node(np.arange(len(y)), weight * (p - y), weight * p * (1 - p), DEPTH))
     return base, trees
 
 
@@ -144,33 +160,45 @@ def _column(tree, names: list[str]) -> Column:
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS):
     """From (url, blocked): a function that adds ``score``, the share of trees' odds that a URL is to be blocked."""
-    own = labelled.where(F.col("url").isNotNull() & F.col("blocked").isNotNull()).select("url", "blocked")
-    drawn = own.orderBy(F.xxhash64("url"), "url", "blocked").limit(sample_rows)
-    rows = features(drawn).select("blocked", "suffix1", "suffix2", *(f"f{i}" for i in range(LEXICAL))).collect()
-    y = np.array([float(r[0]) for r in rows])
-    if not len(y) or y.min() == y.max():
-        return lambda df: features(df).withColumn("score", F.lit(float(y.min()) if len(y) else 0.0))
-    stats = [Suffixes([r[i] for r in rows], y) for i in (1, 2)]
-    x = np.column_stack([np.array([r[3:] for r in rows], float), *(s.values([r[i + 1] for r in rows]) for i, s in enumerate(stats))])
-    base, trees = grow(x, y)
+    own = labelled.where(F.col("url").isNotNull() & F.col("blocked").isNotNull()).groupBy("url", "blocked").agg(F.count(F.lit(1)).alias("n"))
+    own, path = work.keep(own, "url-labels")
+    counts = own.agg(F.count(F.lit(1)).alias("n"), F.min("blocked").alias("low"), F.max("blocked").alias("high")).first()
+    if counts.low == counts.high:
+        return lambda df: features(df).withColumn("score", F.lit(float(bool(counts.low))))
+    draw = F.xxhash64("url", F.lit(3))
+    least = math.ceil(min(1.0, 2 * sample_rows / counts.n) * (1 << 30))  # twice the sample pass the hash, so that what is sorted does not grow with the input
+    drawn = own.where(F.pmod(F.xxhash64("url", F.lit(4)), F.lit(1 << 30)) < least).orderBy(draw, "url", "blocked").limit(sample_rows)
+    shares, base_share = suffix_shares(features(own).select("suffix1", "suffix2", fold_of().alias("fold"), "blocked", "n"))
     names = [f"f{i}" for i in range(LEXICAL + 2)]
+    rows = with_shares(features(drawn).withColumn("fold", fold_of()), shares, base_share, folds=True).select("url", "blocked", "n", *names).orderBy("url", "blocked").collect()
+    y, n = (np.array([float(r[k]) for r in rows]) for k in (1, 2))
+    base, trees = grow(np.array([r[3:] for r in rows], float), y, 1 + np.log2(n))
 
     def scored(df: DataFrame) -> DataFrame:
-        out = features(df).withColumns({names[LEXICAL + i]: s.column(F.col(f"suffix{i + 1}")) for i, s in enumerate(stats)})
         total = sum((_column(t, names) for t in trees), F.lit(base))
-        return out.withColumn("score", 1 / (1 + F.exp(-total)))
+        return with_shares(features(df), shares, base_share).withColumn("score", 1 / (1 + F.exp(-total)))
 
     return scored
 
 
+def rule_labels(pages: DataFrame, rules=None) -> DataFrame:
+    """(url, blocked) of the URLs that the rules decide."""
+    rule = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
+    verdicts = F.create_map(*(F.lit(x) for v, r in (RULES if rules is None else rules) for x in (r, v)))
+    return pages.select("url", rule.alias("rule")).where("rule IS NOT NULL").select("url", (F.try_element_at(verdicts, F.col("rule")) == "block").alias("blocked"))
+
+
+def held_out_accuracy(labelled: DataFrame) -> tuple[float, float]:
+    """The share of labelled URLs, a fold of them that the fit does not see, whose label the trees give; and the share of the more frequent label."""
+    own = fold_of() == 0
+    out = fit(labelled.where(~own))(labelled.where(own)).agg(F.avg(((F.col("score") >= 0.5) == F.col("blocked")).cast("int")).alias("a"), F.avg(F.col("blocked").cast("int")).alias("b")).first()
+    return out.a, max(out.b, 1 - out.b)
+
+
 def filter_urls(pages: DataFrame, rules=None, labelled: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and the method's score of every url."""
-    own = pages.select("page_id", "url")
-    if labelled is None:
-        rule = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
-        verdicts = F.create_map(*(F.lit(x) for v, r in (RULES if rules is None else rules) for x in (r, v)))
-        labelled = own.select("url", rule.alias("rule")).where("rule IS NOT NULL").select("url", (F.element_at(verdicts, F.col("rule")) == "block").alias("blocked"))
-    scored = fit(labelled)(own).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    own = work.spread(pages.select("page_id", "url"))
+    scored = fit(rule_labels(own, rules) if labelled is None else labelled)(own).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F
     for v, r in RULES if rules is None else rules:
         verdict = verdict.when(F.col("rule") == r, F.lit(v))
