@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -16,8 +17,9 @@ def license_brute(rows):
     table = [(i, name, set(license_scan.bigrams_of(t))) for i, (name, t) in enumerate(license_scan.TEMPLATES)]
     out = set()
     for doc, text in rows:
-        lines = (text or "").split("\n")
-        for unit, line in enumerate([text if len(lines) > 1 else "", *lines]):
+        lines, parts = (text or "").split("\n"), re.split(license_scan.BLANK_LINES, text or "")
+        units = [*enumerate([text if len(lines) > 1 else "", *lines]), *((-k, p) for k, p in enumerate(parts, 1) if len(parts) > 1 and "\n" in p.strip(" \t\r\n"))]
+        for unit, line in units:
             own = set(license_scan.bigrams_of(line or ""))
             scores = [(2 * len(own & b) / (len(own) + len(b)), -i, name) for i, name, b in table if own]
             if scores and 100 * max(scores)[0] >= license_scan.PERCENT:
@@ -35,9 +37,12 @@ def test_license_scan(spark):
         del w[rng.randrange(len(w))]
         rows.append((11 + 2 * i, " ".join(w) + "\nand a line"))
     rows.append((500, "word " * 5000))
+    for i, (_, t) in enumerate(license_scan.TEMPLATES):
+        rows.append((600 + i, "some other text\nof two lines\n \n\n# " + "\n# ".join(textwrap.wrap(t, 40)) + "\n\nand the\nrest of it\n" * 9))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"unit": F.lit(1), "line": F.lit("q"), "words": F.lit("z")})
     got = {(r.doc_id, r.unit, r.license, r.template, r.dice) for r in license_scan.scan(df).collect()}
     assert got == license_brute(rows) and len(got) > 20
+    assert {d for d, unit, *_ in got if unit < 0} >= {600 + i for i, (_, t) in enumerate(license_scan.TEMPLATES) if len(t) > 40}
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
@@ -47,8 +52,6 @@ def test_license_scan_runs_no_python(spark):
 
 
 def test_notices_find_wrapped_templates(spark):
-    import textwrap
-
     filler = " ".join(f"filler{i}" for i in range(300))
     rows = [(i, f"{filler}\n" + "\n".join(textwrap.wrap(t, 24, break_long_words=False)) + f"\n{filler}") for i, (_, t) in enumerate(license_scan.TEMPLATES)]
     rows += [(100, "Copyright (c) 2020 Jane Doe. Released under the MIT License. All of it"), (101, None), (102, ""), (103, filler), (104, "mit")]
