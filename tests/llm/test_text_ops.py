@@ -4,6 +4,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -173,8 +174,8 @@ def edit_distance(item, text):
 def test_contaminated(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdeimnorst") for _ in range(rng.randint(2, 8)))
-    items = [" ".join(word() for _ in range(rng.randint(4, 40))) for _ in range(12)] + ["", "tiny", "Twice told  passage of words that counts", "twice told passage of WORDS that counts"]
-    rows = [(0, None), (1, "")]
+    items = [" ".join(word() for _ in range(rng.randint(4, 40))) for _ in range(12)] + ["", "tiny", "Twice told  passage of words that counts", "twice told passage of WORDS that counts", "abab" * 40, "a" * 120, "a" * 60 + " b"]
+    rows = [(0, None), (1, ""), (90, "a" * 700 + " c"), (91, "ab" * 300), (92, "tiny"), (93, "a tinytiny (TINY)")]
     for n in range(80):
         filler = [" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(2)]
         text = bytearray(" ".join(rng.choice(items).lower().split()).encode())
@@ -191,14 +192,56 @@ def test_contaminated(spark):
     for i, t in rows:
         for k, item in enumerate(items):
             own = decontaminate.normalise(item)
-            if len(own) >= decontaminate.Q and (d := edit_distance(own, decontaminate.normalise(t or ""))) <= decontaminate.budget(len(own)):
+            whole = decontaminate.normalise(t or "")
+            if len(own) >= decontaminate.Q and (d := edit_distance(own, whole)) <= decontaminate.budget(len(own)):
                 want[i, k] = d
+            elif 0 < len(own) < decontaminate.Q and re.search(rb"(?<![0-9a-z\x80-\xff])" + re.escape(own) + rb"(?![0-9a-z\x80-\xff])", whole):
+                want[i, k] = 0
     assert got == want and len(got) > 30
     kept = decontaminate.drop_contaminated(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in want}
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_templated_items(monkeypatch):
+    """Items with one prompt, by edit distance; small chunks, segments and batches."""
+    for name, size in (("SEGMENT", 50), ("CHUNK", 64), ("WIDTH", 64), ("CELLS", 200)):
+        monkeypatch.setattr(decontaminate, name, size)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdeimnorst") for _ in range(rng.randint(2, 8)))
+    for prompt, rest in (("answer the question with one of the letters below and say why it is so: ", ""), ("", " and now answer the question with one of the letters below")):
+        items = [f"{prompt}{' '.join(word() for _ in range(rng.randint(1, 9)))}{rest}".encode() for _ in range(25)]
+        own = decontaminate.Items(list(range(25)), items)
+        for _ in range(12):
+            parts = []
+            for item in rng.sample(items, 4):
+                text = bytearray(item)
+                for _ in range(rng.choice([0, 2, 5, 9])):
+                    text[rng.randrange(len(text))] = 120
+                parts += [bytes(text), word().encode()]
+            text = b" ".join(parts)
+            want = {i: d for i, x in enumerate(items) if (d := edit_distance(x, text)) <= decontaminate.budget(len(x))}
+            found = own.matches(text)
+            assert {n: edits for n, edits, _ in found} == want
+            for n, edits, place in found:
+                k = decontaminate.budget(len(items[n]))
+                assert edit_distance(items[n], text[max(0, place - k) : place + len(items[n]) + 2 * k]) == edits
+
+
+def test_decontamination_is_bounded():
+    """Equal letters, one prompt over thousands of items, and a text that repeats it."""
+    began = time.time()
+    rng = random.Random(3)
+    one = decontaminate.Items([1, 2], [b"a" * 300, b"a" * 150 + b"b" + b"a" * 149])
+    assert [(n, e) for n, e, _ in one.matches(b"a" * 1_000_000)] == [(0, 0), (1, 1)]
+    prompt = "answer the question with one of the letters below and say in short why so: "
+    items = [(prompt + "".join(rng.choice("abcdefgh ") for _ in range(40))).encode() for _ in range(5000)]
+    many = decontaminate.Items(list(range(5000)), items)
+    text = (prompt + "something else ").encode() * 40 + bytes(rng.choice(b"abcdefgh ") for _ in range(100_000)) + items[77]
+    assert [(n, e) for n, e, _ in many.matches(text)] == [(77, 0)]
+    assert time.time() - began < 60
+
+
 def test_items_go_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
     bench = spark.createDataFrame([(i, f"passage number {i} of a set of words") for i in range(9)], "item_id long, text string")
