@@ -122,7 +122,71 @@ def test_line_blocks_beside_articles():
     page = "<body><div>Home</div><div>{}</div><article class='comment'><p>Nice post</p></article><div>x</div><div>y</div><div>z</div><div>w</div></body>"
     got = html_extract.main_text(page.format("".join(f"<p>{b}</p>" for b in body))).split("\n")
     assert [g for g in got if g in body] == body and "w" not in got
-    assert html_extract.main_text(f"<div>Home</div><article><p>{body[0]}</p><p>a</p><p>b</p><p>c</p><p>d</p></article><div>x</div>") == "\n".join([body[0], "a", "b"])
+    assert html_extract.main_text(f"<div>Home</div><article><p>{body[0]}</p><p>a</p><p>b</p><p>c</p><p>d</p></article><div>x</div>") == "\n".join([body[0], "a", "b", "c", "d"])
+    assert html_extract.main_text(f"<div>Home</div><article>Teaser</article><div><p>{body[0]}</p></div>") == f"Teaser\n{body[0]}"
+
+
+def test_names_are_read_in_whole():
+    text = "First words of it"
+    for block in (f'<p title="hidden gem">{text}</p>', f'<p data-id="search">{text}</p>', f'<h1 class="post-header">{text}</h1>', f'<h2 id="form">{text}</h2>', f'<div class="entry-header"><p>{text}</p></div>', f'<p class="ad-libbed">{text}</p>', f"<p title='class=ad'>{text}</p>", f'<div hidden="until-found">{text}</div>'):
+        assert html_extract.main_text(f"<article>{block}<p>Last words</p></article>") == f"{text}\nLast words", block
+    for block in ('<p class="ad">no</p>', '<div class="x ad-slot">no</div>', "<div id=comments><p>no</p></div>", '<span class="share-buttons">no</span>', "<div hidden>no</div>", '<div style="color:red; display: none">no</div>', '<p class="a notice">no</p>', "<footer>no</footer>", '<ul ROLE="Navigation"><li>no</ul>'):
+        assert html_extract.main_text(f"<article><p>{text}</p>{block}<p>Last words</p></article>") == f"{text}\nLast words", block
+
+
+def spans_brute(weights, heading, least, open_ends):
+    n = len(weights)
+    high = [k for k in range(n) if sum(weights[k : k + 3]) >= least]
+    kept = {i for i in range(n) if any(a <= i for a in high) and any(i <= b + 2 for b in high)}
+    if open_ends and high:
+        for i in range(min(high), min(high) + 3):  # the lines before the first that the first window needs, or that is a heading
+            if i in kept and not heading[i] and weights[i] < 20 and sum(weights[j] for j in range(i + 1, min(min(high) + 3, n))) >= least:
+                kept.discard(i)
+            else:
+                break
+        for i in range(min(max(high) + 2, n - 1), max(high), -1):
+            if i > min(kept) and weights[i] < 20 and sum(weights[max(high) : i]) >= least:
+                kept.discard(i)
+            else:
+                break
+    return sorted(kept)
+
+
+def test_distribution_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(4000):
+        n = rng.randint(0, 12)
+        weights = [rng.choice([1, 5, 20, 40, 90, 200]) for _ in range(n)]
+        heading = [rng.random() < 0.2 for _ in range(n)]
+        for open_ends in (True, False):
+            assert list(html_extract.spans(weights, heading, 80, open_ends)) == spans_brute(weights, heading, 80, open_ends)
+
+
+def test_recall_of_article_text():
+    """Made pages, marked and not, with all that contracts leave out around and between the blocks."""
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdeimnorst") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    aside = ["<nav><ul><li><a href=/a>{}</a></ul></nav>", '<div class="ad">{}</div>', "<aside><p>{}</p></aside>", "<form><label>{}</label><input></form>", "<script>{}</script>", '<div id="cookie-notice"><p>{}</p></div>', '<section class="comments"><p>{}</p></section>', "<footer>{}</footer>"]
+    for marked in (True, False):
+        found = wanted = extra = 0
+        for _ in range(60):
+            blocks = [words(rng.randint(25, 60)) for _ in range(rng.randint(2, 9))]
+            parts = [f"<h1>{words(4)}</h1>" if marked else ""]
+            for b in blocks:
+                parts += [f"<p>{b}</p>", rng.choice(aside).format(words(30)) if rng.random() < 0.5 else ""]
+            body = "".join(parts)
+            page = f"<html><head><title>x</title></head><body>{aside[0].format(words(3))}<header>{words(9)}</header>{f'<article>{body}</article>' if marked else f'<div>{body}</div>'}{aside[6].format(words(40))}{aside[7].format(words(20))}</body></html>"
+            got = html_extract.main_text(page).split("\n")
+            found, wanted = found + sum(b in got for b in blocks), wanted + len(blocks)
+            extra += sum(g not in blocks for g in got) - marked
+        assert found == wanted and extra == 0
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x" + "</p>" * 100_000, "<b class=ad>" + "<b>" * 200_000 + "</i>" * 100_000, "<" * 1_000_000, "<p>" + " " * 1_000_000, "<a b='" * 100_000, "<head><script>" * 50_000, "<button>x" * 100_000, "&amp;" * 200_000, "<!--" * 200_000, "<p class='" + "a " * 400_000 + "'>x"])
+def test_long_broken_pages(page):
+    began = time.time()
+    html_extract.main_text(page)
+    assert time.time() - began < 10
 
 
 @pytest.mark.parametrize("name", ["button", "select", "object", "svg", "math", "canvas", "audio", "video", "template", "head"])
@@ -142,3 +206,4 @@ def test_extract(spark):
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
     assert {r.n_chars for r in got} == {len(html_extract.main_text(PAGE)), 0, 399_999}
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
