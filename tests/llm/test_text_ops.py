@@ -255,7 +255,7 @@ def test_pack_round_trip(spark, docs, rows):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    extra = [(10_001, "a <|endoftext|> b"), (10_002, "x" * 9000 + " tail"), (10_003, "“quotes” 🙂 \u00a0 it's we'll  \n\n 12,5½")]
+    extra = [(10_001, "a <|endoftext|> b"), (10_002, "x" * 9000 + " tail"), (10_003, "“quotes” 🙂 \u00a0 it's we'll  \n\n 12,5½"), (10_004, " " * 1_000_000), (10_005, "x" + "\n" * 300_000 + "y"), (10_006, " \n" * 200_000), (10_007, "一路" * 100_000), (10_008, "a" * 200_000)]
     df = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string")).withColumn("shard", F.lit("s"))
     ids = {i: [*own.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows + extra}
     pieces = packing.pack(df, window=256).collect()

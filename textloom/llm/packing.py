@@ -10,7 +10,8 @@ Windows are thus full. A shard's last, partial window is cut into pieces whose l
 
 Inverse document frequencies and the mean length are of all documents; the vocabulary bounds their size.
 
-The ids are those of ``tokenizers`` for the same vocabulary, without added special tokens; the faster library reads its rank file.
+The ids are those of ``tokenizers`` for the same vocabulary, without added special tokens; the faster library reads its rank file, and ``tokenizers`` itself takes the texts whose runs of white
+space that library refuses.
 
 Cases: null text counts as empty and packs its end id alone; documents without id are packed like others; repeated rows are packed once
 each; extra columns are ignored; an empty table gives no piece. Nothing is dropped: each id lies in exactly one piece.
@@ -34,7 +35,7 @@ from textloom.operators.sample import prefix_sum
 
 WINDOW = 2048
 END_ID = 1
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY, WHOLE_VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 #: The special token that a text may spell out, and its id.
 SPECIAL = {"<|endoftext|>": 50256}
 N_IDS = 50_257
@@ -67,9 +68,23 @@ def encoder(path: str):
     return _encoders[path]
 
 
-def encode(text: str, path: str) -> np.ndarray:
+def whole_encoder(path: str):
+    """The tokenizer of a JSON file, once a process."""
+    if path not in _encoders:
+        from tokenizers import Tokenizer
+
+        _encoders[path] = Tokenizer.from_file(path)
+    return _encoders[path]
+
+
+def encode(text: str, path: str, whole_path: str | None = None) -> np.ndarray:
     """A text's ids and the end id."""
-    ids = encoder(path).encode_to_numpy(text, allowed_special="all", disallowed_special=())
+    try:
+        ids = encoder(path).encode_to_numpy(text, allowed_special="all", disallowed_special=())
+    except ValueError:  # its pattern runs out of stack on very long runs of white space
+        import public_tokenizers
+
+        ids = whole_encoder(whole_path or public_tokenizers.path(WHOLE_VOCABULARY)).encode(text, add_special_tokens=False).ids
     return np.append(ids, END_ID).astype(np.uint16)
 
 
@@ -102,7 +117,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.i
 _OUT_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _cut(path: str, window: int):
+def _cut(path: str, window: int, whole_path: str | None = None):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(N_IDS, np.int64)
         counts = [0, 0]
@@ -110,7 +125,7 @@ def _cut(path: str, window: int):
         def rows():
             for part in work.pieces(parts):
                 for doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    ids = encode(text, path)
+                    ids = encode(text, path, whole_path)
                     n = len(ids)
                     df[np.flatnonzero(np.bincount(ids, minlength=N_IDS)) if n > 4 * window else np.unique(ids)] += 1
                     counts[0] += 1
@@ -266,11 +281,11 @@ def _pack(idf, mean: float, window: int):
     return run
 
 
-def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, whole_path: str | None = None) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), work.text_of())
-    cut, _ = work.keep(own.mapInArrow(_cut(path or vocabulary_path(), window), _CUT_DDL), "pack-cut")
+    own = work.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), work.text_of()))
+    cut, _ = work.keep(own.mapInArrow(_cut(path or vocabulary_path(), window, whole_path), _CUT_DDL), "pack-cut")
     n, mean, df = corpus_stats(cut)
     idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
     rest = cut.where("kind = 'rest'")
