@@ -91,8 +91,10 @@ def near_brute(rows, k, percent):
     return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("block", "words", "percent"), [(256, 3, 85), (4, 5, 80)])
-def test_near_components(docs, rows, monkeypatch, block, words, percent):
+@pytest.mark.parametrize(("block", "few", "most", "words", "percent"), [(256, 64, 20_000, 3, 85), (4, 64, 20_000, 5, 80), (4, 2, 3, 3, 85)])
+def test_near_components(docs, rows, monkeypatch, block, few, most, words, percent):
+    monkeypatch.setattr(minhash_dedup, "FEW", few)
+    monkeypatch.setattr(minhash_dedup, "MOST_GROUP", most)
     monkeypatch.setattr(minhash_dedup, "BLOCK", block)
     monkeypatch.setattr(minhash_dedup, "PIVOTS", 2)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_components(docs, words, percent).collect()}
@@ -106,7 +108,59 @@ def test_near_edges(spark, empty):
     odd = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (2, "A B\nc d e f"), (2, "A B\nc d e f"), (8, None), (9, " ")], "doc_id long, text string").withColumns({"class": F.lit(1), "family": F.lit(2), "task": F.lit("t")})
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_components(odd).collect()), key=str)
     assert got == sorted([(None, 2, None, True), (5, 2, 2, False), (2, 2, 2, True), (2, 2, 2, True), (8, 0, 8, True), (9, 0, 9, True)], key=str)
-    assert minhash_dedup.drop_near_copies(odd).columns == odd.columns
+    kept = minhash_dedup.drop_near_copies(odd.withColumns({"name": F.lit("n"), "row": F.lit(3)}))
+    assert kept.columns == [*odd.columns, "name", "row"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, "a b c d e f"), (2, "A B\nc d e f"), (8, None), (9, " ")], key=str)
+    assert minhash_dedup.drop_near_copies(empty).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    """Near copies 2 and 5, and another text that is 5 too: it stays."""
+    own = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(2, own), (5, own + " x"), (5, other), (5, other), (7, other + " y"), (None, own), (None, own)]
+    kept = minhash_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(2, own), (5, other), (None, own), (None, own)], key=str)
+
+
+def test_agreement_of_pairs_at_the_threshold():
+    rng = np.random.default_rng(7)
+    for percent in (80, 85):
+        count = shingles.banding(percent)
+        least, agrees = shingles.agreement(percent, 5 * count), []
+        for n in (9, 20, 100, 700):
+            for _ in range(60):
+                both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+                rest = rng.integers(0, 1 << 63, int(n * (100 - percent) / percent), dtype=np.uint64)
+                cut = len(rest) // 2
+                a, b = (np.frombuffer(shingles.bands(np.unique(np.concatenate((both, x))), count)[1], np.uint8) for x in (rest[:cut], rest[cut:]))
+                agrees.append(int((a == b).sum()))
+        assert min(agrees) >= least and least > 0.6 * 5 * count
+        half = [np.unique(np.concatenate((both[:100], rng.integers(0, 1 << 63, 50, dtype=np.uint64)))) for _ in range(40)]
+        sketches = [np.frombuffer(shingles.bands(x, count)[1], np.uint8) for x in half]
+        assert np.mean([(x == y).sum() >= least for i, x in enumerate(sketches) for y in sketches[:i]]) < 0.01
+
+
+@pytest.mark.parametrize("kind", ["chain", "template"])
+def test_half_similar_pages_make_no_family(spark, kind, monkeypatch):
+    """Pages that share half with the next one, or a template with all: no family, so nothing to verify."""
+    rng = np.random.default_rng(1)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    parts = [word(60) for _ in range(401)]
+    shared = word(60)
+    rows = [(i, " ".join(parts[i] + (parts[i + 1] if kind == "chain" else shared))) for i in range(400)]
+    seen = []
+    monkeypatch.setattr(minhash_dedup, "_large", lambda *x: seen.append(x))
+    own = minhash_dedup.families
+
+    def families(*x):
+        out = own(*x)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "families", families)
+    got = minhash_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("kept").count() == 400 and seen[0] < 8 and len(seen) == 1
 
 
 def test_sketch_estimates_similarity():

@@ -1,17 +1,18 @@
 """Near-duplicate groups: Fast Similarity Sketching, banding, exact verification.
 
 1. Each text's set of word shingles gets a sketch whose coordinates agree with the probability of the sets' Jaccard similarity; enough
-   bands of five coordinates are drawn that a pair at the threshold is missed with a chance of 1e-8. Texts with the same words are one class from here on,
-   represented by the smallest id.
-2. Classes that share a band value are joined to one hub of it, first within a task, then between the tasks' hubs: as many rows as members, never
-   pairs. The components of these unverified links are the families; a true component lies within one family.
-3. Families are verified on their full sets. A family of up to ``BLOCK`` classes is one task's; pairs that are connected already are skipped. A larger family is cut
-   into chunks: each verifies its own pairs and those with the family's pivots. What is still outside the family's largest component is
-   then compared, block by block, with all of the family. No pair that could connect two components stays unchecked.
+   bands of five coordinates are drawn that a pair at the threshold is missed with a chance of 1e-8. Texts with the same words are one class from here on.
+2. Classes that share a band value are a group. Within a group two classes are likely to be linked if their sizes allow it and their sketches agree in as many coordinates as a pair at the
+   threshold does but for a chance of 1e-9: half-similar pages share bands by chance, but hardly ever agree so much. Of a group's likely links a spanning forest is told, so as many rows as
+   members, never pairs. A value that a task of 32,768 classes meets more than ``FEW`` times, and a group of more than ``MOST_GROUP`` classes, links all its members to one instead, unseen.
+3. The components of the likely links are the families; a true component lies within one family. Families are verified on their full sets. A family of up to ``BLOCK`` classes is one task's;
+   pairs that are connected already are skipped. A larger family is cut into chunks: each verifies its own pairs and those with the family's pivots. What is still outside the family's
+   largest component is then compared, block by block, with all of the family. No pair that could connect two components stays unchecked.
 4. The components of the verified links, and every document's class in them, are the result.
 
 Cases: texts that are null or without words are linked with nothing; a text of fewer words than a shingle is one shingle; rows without id are linked with nothing and
-have no component; rows that share an id are one node; extra columns are ignored; an empty table gives an empty result.
+have no component; rows that share an id and differ in words are texts of their own, rows that share id and words are one; extra columns of any name do no harm; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from textloom.llm import graph, shingles, work
 
@@ -33,10 +35,20 @@ BLOCK = 256
 #: Classes of a larger family that all the others are compared with.
 PIVOTS = 8
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_SKETCH_DDL = "doc_id long, class binary, n_shingles long, bands array<long>"
-_EDGE = pa.schema([("value", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-_EDGE_DDL = "value long, a long, b long"
+#: Classes of a task that may share a band value, and classes of a group, before they are linked to one of them without a look.
+FEW, MOST_GROUP = 4096, 20_000
+#: Band rows of a task.
+BAND_ROWS = 4_000_000
+
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_SKETCH_DDL = "doc_id long, class binary, n_shingles long, bands array<long>, sketch binary"
+_BAND = pa.schema([("value", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_BAND_DDL = "value long, a long, b long"
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ids", pa.list_(pa.int64()))])
+_MET_DDL = "a long, b long, ids array<long>"
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Stands for the second node where a member speaks for many, which are linked to it.
+_HOT = -1
 
 
 def class_of(text: bytes) -> bytes:
@@ -48,34 +60,58 @@ def _sketches(words: int, percent: int):
     count = shingles.banding(percent)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in work.pieces(parts):
-            rows = []
-            for doc_id, text in zip(part.column(0).to_pylist(), work.utf8(part.column(1)), strict=True):
-                s = shingles.shingle_set(text, words)
-                rows.append((doc_id, class_of(text), len(s), shingles.bands(s, count) if len(s) and doc_id is not None else None))
-            yield from work.batches(_SKETCH, rows)
+        def rows():
+            for part in work.pieces(parts):
+                for doc_id, text in zip(part.column(0).to_pylist(), work.utf8(part.column(1)), strict=True):
+                    s = shingles.shingle_set(text, words)
+                    if len(s) and doc_id is not None:
+                        values, sketch = shingles.bands(s, count)
+                        yield doc_id, class_of(text), len(s), values, sketch
+                    else:
+                        yield doc_id, None, len(s), None, None
+
+        yield from work.batches(_SKETCH, rows())
 
     return run
 
 
-def _hubs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a task's classes to the smallest one with the same band value, and that one for each value (a null b)."""
-    for part in _gathered(parts):
-        ids = np.asarray(part.column(0))
-        table = part.column(1).flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, 0), np.int64)
-        for column in table.T:
-            order = np.lexsort((ids, column))
-            values, owners = column[order], ids[order]
-            first = np.concatenate(([True], values[1:] != values[:-1]))
-            hub = owners[first][np.cumsum(first) - 1]
-            n, m = int(first.sum()), int((~first).sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((values[first], values[~first]))), pa.array(np.concatenate((owners[first], owners[~first]))), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(hub[~first], pa.int64())]) if m else pa.nulls(n, pa.int64())], schema=_EDGE)
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and its length."""
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return first, np.diff(np.append(first, len(keys)))
+
+
+def _links(a: np.ndarray, b: np.ndarray, value: np.ndarray | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a if value is None else value), pa.array(a), pa.array(b)], schema=_BAND)
+
+
+def _members(few: int):
+    """A task's (band value, class); of a value that it meets more than ``few`` times one class, marked, and links of the others to it."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _gathered(parts):
+            ids = np.asarray(part.column(0))
+            table = part.column(1).flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, 0), np.int64)
+            for column in table.T:
+                order = np.lexsort((ids, column))
+                values, own = column[order], ids[order]
+                first, size = _runs(values)
+                many = np.repeat(size > few, size)
+                lead = np.zeros(len(own), bool)
+                lead[first] = True
+                yield pa.RecordBatch.from_arrays([pa.array(values[~many]), pa.array(own[~many]), pa.nulls(int((~many).sum()), pa.int64())], schema=_BAND)
+                if many.any():
+                    hub = np.repeat(own[first], size)
+                    yield _links(own[many & lead], np.full(int((many & lead).sum()), _HOT), values[many & lead])
+                    yield _links(own[many & ~lead], hub[many & ~lead], values[many & ~lead])
+
+    return run
 
 
 def _gathered(parts: Iterator[pa.RecordBatch], rows: int = 32_768) -> Iterator[pa.RecordBatch]:
     """Batches of at least so many rows, but for the last."""
     held: list[pa.RecordBatch] = []
-    for part in work.pieces(parts):
+    for part in parts:
         held.append(part)
         if sum(map(len, held)) >= rows:
             yield pa.concat_batches(held)
@@ -84,15 +120,95 @@ def _gathered(parts: Iterator[pa.RecordBatch], rows: int = 32_768) -> Iterator[p
         yield pa.concat_batches(held)
 
 
-def families(classes: DataFrame) -> DataFrame:
-    """(id, family) of the classes (id, bands) that share a band value with another."""
-    found, path = work.keep(classes.mapInArrow(_hubs, _EDGE_DDL), "bands")
-    own = found.where("b IS NOT NULL").select("a", "b").distinct()
-    hubs = found.where("b IS NULL").select("value", "a")
-    least = hubs.groupBy("value").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("value").alias("v"), "b")
-    met = hubs.join(least, F.col("value") == F.col("v")).where("a <> b").select("a", "b").distinct()
-    roots = graph.components(own.unionByName(met))
-    work.release(classes.sparkSession, path)
+def _met(most: int):
+    """All members of some band values: links that tasks have found, links of very large groups to one member, and the members of other groups, each set of them once."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = lambda n: pa.nulls(n, pa.list_(pa.int64()))
+        pieces, marks = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], [np.zeros(0, bool)]
+        for part in parts:
+            b = part.column(2)
+            hot = np.asarray(b.fill_null(0)) == _HOT
+            known = np.asarray(b.is_valid()) & ~hot
+            if known.any():
+                found = part.filter(pa.array(known))
+                yield pa.RecordBatch.from_arrays([found.column(1), found.column(2), empty(len(found))], schema=_MET)
+            pieces.append((np.asarray(part.column(0))[~known], np.asarray(part.column(1))[~known]))
+            marks.append(hot[~known])
+        values, ids, hot = np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces]), np.concatenate(marks)
+        order = np.lexsort((ids, values))
+        values, ids, hot = values[order], ids[order], hot[order]
+        if not len(ids):
+            return
+        first, size = _runs(values)
+        blind = (np.add.reduceat(hot, first) > 0) | (size > most)
+        far = np.repeat(blind, size)
+        hub = np.repeat(ids[first], size)
+        far &= ids != hub
+        if far.any():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(hub[far]), empty(int(far.sum()))], schema=_MET)
+        mark = np.add.reduceat(shingles.mix(ids.view(np.uint64)), first)
+        seen = np.flatnonzero(~blind & (size > 1))
+        _, once = np.unique(np.stack([mark[seen], size[seen].astype(np.uint64), ids[first[seen]].view(np.uint64)]), axis=1, return_index=True) if len(seen) else (None, np.zeros(0, np.int64))
+        for at in range(0, len(once), 10_000):
+            part = seen[np.sort(once)[at : at + 10_000]]
+            lists = pa.array([ids[first[g] : first[g] + size[g]] for g in part], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), lists], schema=_MET)
+
+    return run
+
+
+def likely(ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, percent: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (a, b) that span the likely pairs of a group: from each class that is reached to those that are not yet."""
+    left = np.arange(len(ids))
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            small, large = np.minimum(sizes[left], sizes[x]), np.maximum(sizes[left], sizes[x])
+            near = left[100 * small >= percent * large]
+            near = near[(sketches[near] == sketches[x]).sum(1) >= least]
+            if len(near):
+                yield ids[near], np.full(len(near), ids[x])
+                queue += near.tolist()
+                left = np.setdiff1d(left, near, assume_unique=True)
+
+
+def _likely(percent: int):
+    least = shingles.agreement(percent, 5 * shingles.banding(percent))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+
+        def group():
+            ids, sizes = (np.array(x, np.int64) for x in zip(*((i, n) for i, n, _ in held), strict=True))
+            for a, b in likely(ids, sizes, np.frombuffer(b"".join(s for _, _, s in held), np.uint8).reshape(len(held), -1), percent, least):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_LINK)
+
+        for part in work.pieces(parts, 8192):
+            for g, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if g != key and held:
+                    yield from group()
+                    held = []
+                key = g
+                held.append(row)
+        if held:
+            yield from group()
+
+    return run
+
+
+def families(classes: DataFrame, percent: int) -> DataFrame:
+    """(id, family) of the classes (id, n_shingles, bands, sketch) that are likely to be linked with another."""
+    spark = classes.sparkSession
+    n = max(work.buckets(classes), classes.count() * shingles.banding(percent) // BAND_ROWS)
+    met, met_path = work.keep(classes.select("id", "bands").mapInArrow(_members(FEW), _BAND_DDL).repartition(n, "value").mapInArrow(_met(MOST_GROUP), _MET_DDL), "band-groups")
+    groups = met.where("ids IS NOT NULL").select("ids").dropDuplicates(["ids"])
+    members = groups.select(F.xxhash64("ids").alias("g"), F.explode("ids").alias("id")).join(classes.select("id", "n_shingles", "sketch").hint("merge"), "id")
+    dealt = members.select("g", "id", "n_shingles", "sketch").repartition(n, "g").sortWithinPartitions("g")
+    found, found_path = work.keep(dealt.mapInArrow(_likely(percent), "a long, b long").unionByName(met.where("b IS NOT NULL").select("a", "b")).distinct(), "likely-links")
+    roots = graph.components(found)
+    work.release(spark, met_path, found_path)
     return roots.select("id", F.col("root").alias("family")).unionByName(roots.select(F.col("root").alias("id"), F.col("root").alias("family")).distinct())
 
 
@@ -135,9 +251,6 @@ def verify(rows: list[tuple[int, int, bool, bytes]], words: int, percent: int) -
                 yield a[1], b[1]
 
 
-_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
 def _verified(words: int, percent: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links():
@@ -162,19 +275,27 @@ def _run_tasks(tasks: DataFrame, n: int, words: int, percent: int) -> DataFrame:
     return dealt.select("task", "id", "comp", "left", "text").mapInArrow(_verified(words, percent), "a long, b long")
 
 
-def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id, kept."""
+def _of_class(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose text is of their class."""
+    for part in work.pieces(parts):
+        own = [c == class_of(t) for c, t in zip(part.column("class").to_pylist(), work.utf8(part.column("text")), strict=True)]
+        yield part.filter(pa.array(own, pa.bool_()))
+
+
+def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, class, n_shingles) of every document, class null where it is linked with nothing; and (class, rep, component_id, head) of every class: its smallest id, that of its component, and
+    whether it is the component's first class by id."""
     spark = docs.sparkSession
     n = work.buckets(docs)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), work.text_of(text_col).alias("text"))
+    own = work.spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), work.text_of(text_col).alias("text")))
     sketched, _ = work.keep(own.mapInArrow(_sketches(words, percent), _SKETCH_DDL), "sketches")
-    classes, _ = work.keep(sketched.where("bands IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sketched.join(classes, (F.col("doc_id") == F.col("rep")) & (sketched["class"] == classes["class"]), "left_semi")
-    found = families(reps.select("doc_id", "bands"))
+    whole = sketched.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")))
+    classes, _ = work.keep(whole.withColumn("id", F.monotonically_increasing_id()), "classes")  # the written number stays a class's name
+    found = families(classes.select("id", "n_shingles", "bands", "sketch"), percent)
     sizes = found.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    members = found.join(sizes, "family").hint("merge")  # as many rows as near copies: no bound to broadcast them by
-    # one row a class: of rows that share its words, the one with its id
-    texts, text_path = work.keep(own.join(members, F.col("doc_id") == F.col("id")).select("id", "family", "size", "text").dropDuplicates(["id", "text"]), "family-texts")
+    members = found.join(sizes, "family").join(classes.select("id", "class", "rep"), "id").hint("merge")  # as many rows as near copies: no bound to broadcast them by
+    of_class = own.join(members, F.col("doc_id") == F.col("rep")).select("id", "family", "size", "class", "text").mapInArrow(_of_class, "id long, family long, size long, class binary, text string")
+    texts, text_path = work.keep(of_class.drop("class").dropDuplicates(["id"]), "family-texts")
     whole = texts.where(F.col("size") <= BLOCK).select(F.col("family").alias("task"), "id", F.col("id").alias("comp"), F.lit(True).alias("left"), "text")
     links, _ = work.keep(_run_tasks(whole, n, words, percent), "near-links")
     large = texts.where(F.col("size") > BLOCK)
@@ -182,9 +303,18 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         links = links.unionByName(_large(large, n, words, percent))
     roots = graph.components(links)
     work.release(spark, text_path)
-    comp = classes.join(roots, F.col("rep") == F.col("id"), "left").select("class", F.coalesce("root", "rep").alias("comp"))
-    out = sketched.select("doc_id", "class", "n_shingles").join(comp, "class", "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("comp"))).otherwise(F.col("doc_id"))
+    linked = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct()).join(classes.select("id", "class", "rep"), "id")
+    first = linked.groupBy("root").agg(F.min(F.struct("rep", "class")).alias("first"))
+    comp = linked.join(first, "root").select("id", F.col("first.rep").alias("component_id"), (F.col("class") == F.col("first.class")).alias("head"))
+    comp = classes.select("id", "class", "rep").join(comp, "id", "left")
+    return sketched.select("doc_id", "class", "n_shingles"), comp.select("class", "rep", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("head", F.lit(True)).alias("head"))
+
+
+def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document: doc_id, n_shingles, component_id, kept."""
+    sketched, comp = _components(docs, words, percent, id_col, text_col)
+    out = sketched.join(comp.select("class", "component_id"), "class", "left")
+    component = F.when(F.col("class").isNotNull(), F.col("component_id")).when(F.col("n_shingles") == 0, F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -215,10 +345,29 @@ def _large(texts: DataFrame, n: int, words: int, percent: int) -> DataFrame:
     return links.unionByName(more)
 
 
-def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay, with all their columns: the one with the smallest id of each component; rows without id stay."""
-    gone = near_components(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct().hint("merge"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+def _named(text: str, name: str):
+    """Adds a row's name: its class and id, or, where it is linked with nothing, the number that it came with."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in work.pieces(parts):
+            own = zip(part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist(), work.utf8(part.column(text)), strict=True)
+            names = [f"row {row}" if i is None or not t.split() else f"{class_of(t).hex()} {i}" for i, row, t in own]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(names, pa.string())], names=[*part.schema.names[:-2], name])
+
+    return run
+
+
+def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, with all their columns: one with the smallest id of each component, and all that are linked with nothing or have no id."""
+    sketched, comp = _components(docs, words, percent, id_col, text_col)
+    of = sketched.where("class IS NOT NULL").join(comp, "class")
+    gone = of.where(~F.col("head") | (F.col("doc_id") != F.col("rep")))
+    name = work.fresh(docs, "name")
+    gone = gone.select(F.concat(F.lower(F.hex("class")), F.lit(" "), F.col("doc_id").cast("string")).alias(name)).distinct()
+    numbered = docs.withColumn(name, F.col(f"`{id_col}`").cast("long"))
+    numbered = numbered.withColumn(work.fresh(numbered, "row"), F.monotonically_increasing_id())
+    named = numbered.mapInArrow(_named(text_col, name), StructType([*docs.schema.fields, StructField(name, StringType())]))
+    return named.join(gone.hint("merge"), name, "left_anti").dropDuplicates([name]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -108,10 +108,21 @@ def banding(percent: int, rows: int = 5, miss: float = 1e-8) -> int:
     return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
 
 
-def bands(s: np.ndarray, count: int, rows: int = 5) -> np.ndarray:
-    """A set's band values; equal values mean equal coordinates in the same band."""
-    coords = sketch(s, count * rows).reshape(count, rows)
+def bands(s: np.ndarray, count: int, rows: int = 5) -> tuple[np.ndarray, bytes]:
+    """A set's band values, where equal ones mean equal coordinates in the same band; and the low byte of every coordinate."""
+    found = sketch(s, count * rows)
+    coords = found.reshape(count, rows)
     h = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(_BASE)
     for j in range(rows):
         h = mix(h ^ coords[:, j]) + np.uint64(_BASE)
-    return h.view(np.int64)
+    return h.view(np.int64), found.astype(np.uint8).tobytes()
+
+
+def agreement(percent: int, coordinates: int, miss: float = 1e-9) -> int:
+    """Coordinates that two sketches share at least, but for a chance of ``miss``, if their sets are at the threshold: a binomial tail."""
+    p, total = percent / 100, 0.0
+    for c in range(coordinates + 1):
+        total += math.exp(math.lgamma(coordinates + 1) - math.lgamma(c + 1) - math.lgamma(coordinates - c + 1) + c * math.log(p) + (coordinates - c) * math.log1p(-p)) if p < 1 else float(c == coordinates)
+        if total > miss:
+            return c
+    return coordinates
