@@ -6,7 +6,7 @@ whose keys collide are chained and told apart by comparing bytes; once a key is
 Parquet table in the shared folder.
 
 Every document is then looked up in that table: the document's row goes to a task that reads its owner's directory and buckets first, takes the slot of its key, the bucket of the slot, and
-the entry of its key and digest. An owner with more than ``PROBE_ROWS`` documents is looked up by several tasks, each with the owner's index and a share of its documents.
+the entry of its key and digest. An owner with more than twice the documents of the mean is looked up by several tasks, each with the owner's index and a share of its documents.
 
 Memory of an owner is about 150 bytes for each distinct text of its range, and the texts of one key; ranges multiply with the input. A text that holds a third of all
 rows reaches its owner as one row for each 32 MB of a map task, and its documents are looked up by many tasks.
@@ -35,8 +35,8 @@ CAPACITY = 64
 MOST_DEPTH = 24
 #: Bytes of distinct texts that a map task holds before it sends them on.
 FLUSH_BYTES = 32 << 20
-#: Documents that a task looks up in one owner's index.
-PROBE_ROWS = 1_000_000
+#: Documents that a task looks up in one owner's index: the mean of all owners, and this many at least.
+PROBE_ROWS = 256
 
 WHITE = b" \t\n\v\f\r"
 _NO_ID = np.iinfo(np.int64).max
@@ -257,8 +257,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """A row for each document: doc_id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
     index, n = build_index(docs, id_col, text_col)
     own = work.spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), work.text_of(text_col).alias("text")))
-    # owners that are looked up by several tasks: one row for each PROBE_ROWS documents at most
-    hot = F.broadcast(index.groupBy("owner").agg(F.sum("rows").alias("all")).where(F.col("all") > PROBE_ROWS).select("owner", F.ceil(F.col("all") / PROBE_ROWS).cast("int").alias("tasks")))
+    share = max(PROBE_ROWS, (index.agg(F.sum("rows")).first()[0] or 0) // n)
+    # owners that are looked up by several tasks: half of the owners at most
+    hot = F.broadcast(index.groupBy("owner").agg(F.sum("rows").alias("all")).where(F.col("all") > 2 * share).select("owner", F.ceil(F.col("all") / share).cast("int").alias("tasks")))
     part = F.pmod(F.col("owner") + F.col("task") * 7919, F.lit(n)).cast("int").alias("part")
     tasks = F.coalesce("tasks", F.lit(1))
     asked = own.mapInArrow(_keys(n), "doc_id long, owner int, key long, sha binary").join(hot, "owner", "left").withColumn("task", F.pmod(F.monotonically_increasing_id(), tasks).cast("int"))
