@@ -20,6 +20,22 @@ def fingerprint(text: Column) -> Column:
     return F.md5(F.when(F.length(head) < SHINGLE, head).otherwise(joined))
 
 
+def hashed(df: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows as ``own`` with their hashes, order and a number: what ``judged`` reads once it is written."""
+    own = [F.col(f"`{c}`") for c in df.columns if c != "status"]
+    hashes = {"fp": fingerprint(F.col(text)), "md5": F.md5(F.col(text)), "row": F.monotonically_increasing_id(), "o": F.col(order)}
+    return df.select(F.struct(*own).alias("own"), *(c.alias(k) for k, c in hashes.items()))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """The written rows of ``hashed`` with their ``status``."""
+    key = F.coalesce("fp", F.lit(""))
+    first = rows.groupBy(key.alias("key")).agg(F.min(F.struct("o", "md5", "row")).alias("first"))
+    status = F.when(F.col("row") == F.col("first.row"), "unique").when(F.col("md5").eqNullSafe(F.col("first.md5")), "exact_dup").otherwise("near_dup")
+    own = rows.schema["own"].dataType.names
+    return rows.withColumn("key", key).join(first, "key").select(*(F.col("own").getField(c).alias(c) for c in own), status.alias("status"))
+
+
 def dedup_status(df: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds ``status``: ``unique`` for the first row of a fingerprint, ``exact_dup`` for one with that row's text, ``near_dup`` for others.
 
@@ -30,13 +46,7 @@ def dedup_status(df: DataFrame, order: str = "doc_id", text: str = "text") -> Da
     Cases: null text has no fingerprint, so its rows are one group (the first is unique, the others are copies); null order values come first; a column of the rows
     named ``status`` is replaced.
     """
-    hashes = {"fp": fingerprint(F.col(text)), "md5": F.md5(F.col(text)), "row": F.monotonically_increasing_id(), "o": F.col(order)}
-    own = [c for c in df.columns if c != "status"]
-    rows = tables.keep(df.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("own"), *(c.alias(k) for k, c in hashes.items())), "fingerprints")
-    key = F.coalesce("fp", F.lit(""))
-    first = rows.groupBy(key.alias("key")).agg(F.min(F.struct("o", "md5", "row")).alias("first"))
-    status = F.when(F.col("row") == F.col("first.row"), "unique").when(F.col("md5").eqNullSafe(F.col("first.md5")), "exact_dup").otherwise("near_dup")
-    return rows.withColumn("key", key).join(first, "key").select(*(F.col("own").getField(c).alias(c) for c in own), status.alias("status"))
+    return judged(tables.keep(hashed(df, order, text), "fingerprints"))
 
 
 def new_prompts(batch: DataFrame, known: DataFrame, key: list[str], order: str) -> DataFrame:

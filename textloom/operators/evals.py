@@ -45,6 +45,25 @@ def thinking_flags(answer: Column) -> dict[str, Column]:
     return {"has_thinking": has, "structured": has & (F.length(tail) > 10)}
 
 
+def thinking_rates(answers: DataFrame, answer: str, *keys: str) -> DataFrame:
+    """(keys, think_tag_rate, structured_rate, think_count, structured_count, total); no answers, null rates."""
+    n, flags = F.count(F.lit(1)), thinking_flags(F.col(answer))
+    counts = answers.groupBy(*keys).agg(F.count_if(flags["has_thinking"]).alias("think_count"), F.count_if(flags["structured"]).alias("structured_count"), n.alias("total"))
+    rate = lambda c: F.col(c) / F.nullif(F.col("total"), F.lit(0))
+    return counts.select(*keys, rate("think_count").alias("think_tag_rate"), rate("structured_count").alias("structured_rate"), "think_count", "structured_count", "total")
+
+
+def comparison(accuracies: DataFrame, thinking: DataFrame, persona_table: DataFrame) -> DataFrame:
+    """One row of two tracks' figures: ``mcq`` and ``thinking`` by track, ``personality`` by track and criterion, the better track and the difference."""
+    by = lambda df, value: df.agg(F.map_from_entries(F.collect_list(F.struct(F.col("track"), value))).alias("m"))  # noqa: E731  a row for each track
+    mcq = by(accuracies, F.struct("correct", "total", "accuracy"))
+    flags = by(thinking, F.struct("think_tag_rate", "structured_rate", "total"))
+    scores = by(persona_table.groupBy("track").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("criterion", "score")))).alias("s")), F.col("s"))
+    one = mcq.select(F.col("m").alias("mcq")).crossJoin(flags.select(F.col("m").alias("thinking"))).crossJoin(scores.select(F.col("m").alias("personality")))  # one row each
+    better, diff = winner(F.col("mcq")["A"].accuracy, F.col("mcq")["B"].accuracy)
+    return one.select("*", better.alias("winner"), diff.alias("diff"))
+
+
 def any_of(c: Column, pieces: list[str]) -> Column:
     out = F.lit(False)
     for p in pieces:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,11 @@ def estimated_tokens(text: Column, per: float = 1.5) -> Column:
     return F.floor(F.length(text) / per).cast("long")
 
 
+def counted_tokens(text: Column, count: Callable[[Column], Column] | None = None) -> Column:
+    """Tokens by the estimate, or by a counter that is passed in: a function of columns, or a pandas UDF such as ``tokens.bpe_count``."""
+    return estimated_tokens(text) if count is None else count(text).cast("long")
+
+
 def seeded(key: Column, seed: int) -> Column:
     """A key's place in a seeded shuffle: a hash, the same in every run and engine."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))

@@ -37,6 +37,20 @@ def bpe_udf(path: str):
     return encode
 
 
+def bpe_count(path: str):
+    """A pandas UDF that counts the ids of a tokenizer file, for ``sample.counted_tokens``."""
+
+    @F.pandas_udf("long")
+    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        for part in parts:
+            yield pd.Series([len(e.ids) for e in own.encode_batch(part.fillna("").tolist(), add_special_tokens=False)], dtype="int64")
+
+    return count
+
+
 def fallback_ids(bos: int | None, eos: int | None, pad: int | None) -> tuple[int, int, int]:
     """(bos, eos, pad) with the pad id for a missing begin or end, and 0 for a missing pad; an id of 0 counts as missing."""
     return bos or pad or 0, eos or pad or 0, pad or 0

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from textloom.functions import text as T
-from textloom.operators import clean, dedup, quality, quotas, sample, scrub
+from textloom.operators import clean, dedup, quality, quotas, sample, scrub, tokens
 from textloom.plans.base import query
-from textloom.sources import collectors, jsonl
-from textloom.sources.tables import spread, table, work_path
+from textloom.sources import collectors, jsonl, mirror, sinks
+from textloom.sources.tables import keep, spread, table, work_path
+from textloom.streaming import cleanse
 
 _METRICS = f"split AS ({quality.METRICS_SQL[0]}), metrics AS ({quality.METRICS_SQL[1]}), judged AS (SELECT *, {quality.REASON_SQL} AS reason FROM metrics)"
 
@@ -84,6 +85,32 @@ def fingerprint(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", dedup.fingerprint(F.col("text")).alias("fp"))
 
 
+#: Texts of which each rule finds something, and some that look alike; ``#`` is a number of the row.
+_NAMED = [
+    "患者：张三丰，住院号：20#0001，家属 李四光。姓名：王小明", "刘大夫医生和陈主任说：某某，王某，李某某。", "家住湖北省武汉市洪山区珞喻路1037号，旁边是东湖村。", "湖北省武汉市洪山区珞喻路号楼室。和平路口市场",
+    "身份证 11010519491231002X 和 1101051949123100211，手机13800138000，座机027-87654321", "微信：abc_12345，QQ: 10#0086，邮箱 a.b@c-d.com.cn。IP 192.168.0.# 和256.1.1.1，卡号 6222 0212 3456 7890 12", "病历号 5#5512 床号：12 名字：赵云 孕妇，钱多多",
+]
+
+
+def named_texts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id")
+    return rows.select("doc_id", F.replace(F.element_at(F.array(*map(F.lit, _NAMED)), (F.col("doc_id") % len(_NAMED) + 1).cast("int")), F.lit("#"), (F.col("doc_id") % 10).cast("string")).alias("text"))
+
+
+_NAMED_SQL = f"SELECT doc_id, replace(list_extract([{', '.join(f"'{t}'" for t in _NAMED)}], CAST(doc_id % {len(_NAMED)} AS INT) + 1), '#', CAST(doc_id % 10 AS VARCHAR)) AS text FROM documents"
+_ADDRESS_SQL = f"(?:{scrub._PART}){{2,}}"
+_DETAILED_SQL = f"len(regexp_extract_all(f, '{scrub.ADDRESS_PART}')) >= {scrub.ADDRESS_LEAST}"
+
+
+@query(f"""WITH d AS ({_NAMED_SQL}), {scrub.scrub_sql("d")}, a AS (SELECT *, regexp_extract_all(text, '{_ADDRESS_SQL}') AS found, string_split_regex(text, '{_ADDRESS_SQL}') AS parts FROM {_LAST})
+SELECT doc_id, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || CASE WHEN i > len(found) THEN '' WHEN len(regexp_extract_all(found[i], '{scrub.ADDRESS_PART}')) >= {scrub.ADDRESS_LEAST} THEN '{scrub.ADDRESS_PUT}' ELSE found[i] END), '') AS text,
+{_N}, CAST(len(list_filter(found, lambda f: {_DETAILED_SQL})) AS BIGINT) AS n_address FROM a""")
+def scrub_named(spark, sf_dir):
+    """Every redaction rule over Chinese texts, the conditional one for addresses too."""
+    return scrub.scrub(named_texts(spark, sf_dir))
+
+
+
 def _status_sql(source: str) -> str:
     return f"""SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'unique' WHEN md5(text) IS NOT DISTINCT FROM first_value(md5(text)) OVER w THEN 'exact_dup' ELSE 'near_dup' END AS status
 FROM (SELECT *, {dedup.FINGERPRINT_SQL.format(t="text")} AS fp FROM {source}) WINDOW w AS (PARTITION BY fp ORDER BY doc_id)"""
@@ -106,18 +133,57 @@ _CLEANSED = f"{_SCRUBBED}, done AS ({_status_sql(_LAST)})"
 SELECT CAST(doc_id AS VARCHAR) AS id, text, lang, source AS industry_type, CAST(length(text) AS BIGINT) AS text_length, num_words FROM done WHERE status = 'unique'""")
 def cleanse_corpus(spark, sf_dir):
     """Quality filter, cleaning, redaction, deduplication in id order, cleaned records."""
-    done = dedup.dedup_status(scrubbed(spark, sf_dir)).where("status = 'unique'")
+    done = dedup.judged(cleansed(spark, sf_dir).where("own.text IS NOT NULL")).where("status = 'unique'")
     return done.select(F.col("doc_id").cast("string").alias("id"), "text", "lang", F.col("source").alias("industry_type"), F.length("text").cast("long").alias("text_length"), "num_words")
 
 
-@query(f"""WITH {_CLEANSED}
-SELECT i AS total_input, o AS total_output, format('{{:.2f}}%', (1 - o / nullif(i, 0)) * 100) AS filter_rate
+def cleansed(spark, sf_dir):
+    """All rows with reason, rule counts and hashes, written once; the text is cleaned and scrubbed, and null where a row failed before or after cleaning."""
+    docs = judged(spark, sf_dir)
+    own = [c for c in docs.columns if c not in ("text", "reason")]
+    docs = docs.select(*own, "reason", T.held(F.when(F.col("reason") == "passed", clean.clean(F.col("text")))).alias("text"))
+    short = F.length("text") < 50
+    docs = docs.select(*own, "reason", F.coalesce(short, F.lit(False)).alias("short"), F.when(~short, F.col("text")).alias("text"))
+    return keep(dedup.hashed(scrub.scrub(docs)), "cleansed")
+
+
+def stats_record(rows):
+    """One row of a cleansing run's figures over the written rows of ``cleansed``: totals, filter rate, and the maps of reasons, statuses and redactions."""
+    own = rows.select("own.*")
+    reasons = own.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count_if("short").alias("short"))
+    both = F.array(F.struct(F.col("reason").alias("k"), "n"), F.struct(F.lit("too_short_after_clean").alias("k"), F.col("short").alias("n")))
+    found = {
+        "quality_filter_stats": reasons.select(F.explode(both).alias("e")).select("e.*").where("n > 0"),
+        "dedup_stats": dedup.judged(rows.where("own.text IS NOT NULL")).groupBy(F.col("status").alias("k")).agg(F.count(F.lit(1)).alias("n")),
+        "redaction_summary": scrub.redaction_totals(own).select(F.col("label").alias("k"), F.col("total").alias("n")),
+    }
+    every = None
+    for name, counts in found.items():  # a few rows each
+        one = counts.select(F.lit(name).alias("of"), "k", "n")
+        every = one if every is None else every.unionByName(one)
+    maps = [F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("of") == name, F.struct("k", "n"))))).alias(name) for name in found]
+    total = F.coalesce(F.sum(F.when((F.col("of") == "quality_filter_stats") & (F.col("k") != "too_short_after_clean"), F.col("n"))), F.lit(0)).alias("total_input")
+    kept = F.coalesce(F.sum(F.when((F.col("of") == "dedup_stats") & (F.col("k") == "unique"), F.col("n"))), F.lit(0)).alias("total_output")
+    rate = F.format_string("%.2f%%", (1 - F.col("total_output") / F.nullif(F.col("total_input"), F.lit(0))) * 100)
+    return every.agg(total, kept, *maps).select("total_input", "total_output", rate.alias("filter_rate"), *found)
+
+
+def shown(entries):
+    return F.array_join(F.transform(F.map_entries(entries), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))), ";")
+
+
+_SHOWN = "(SELECT coalesce(string_agg({k} || '=' || {n}, ';' ORDER BY {k}), '') FROM ({rows}))"
+
+
+@query(f"""WITH {_CLEANSED}, q AS (SELECT reason AS k, count(*) AS n FROM judged GROUP BY 1 UNION ALL SELECT 'too_short_after_clean', count(*) FROM cleaned WHERE length(text) < 50 HAVING count(*) > 0)
+SELECT i AS total_input, o AS total_output, format('{{:.2f}}%', (1 - o / nullif(i, 0)) * 100) AS filter_rate,
+  {_SHOWN.format(k="k", n="n", rows="SELECT * FROM q")} AS quality_filter_stats,
+  {_SHOWN.format(k="status", n="n", rows="SELECT status, count(*) AS n FROM done GROUP BY 1")} AS dedup_stats,
+  {_SHOWN.format(k="label", n="total", rows=f"SELECT * FROM ({_LABEL_SUMS}) WHERE total > 0")} AS redaction_summary
 FROM (SELECT (SELECT count(*) FROM documents) AS i, (SELECT count(*) FROM done WHERE status = 'unique') AS o)""")
 def cleanse_stats(spark, sf_dir):
-    total = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("total_input"))
-    kept = cleanse_corpus(spark, sf_dir).agg(F.count(F.lit(1)).alias("total_output"))
-    rate = F.format_string("%.2f%%", (1 - F.col("total_output") / F.nullif(F.col("total_input"), F.lit(0))) * 100)
-    return total.crossJoin(kept).withColumn("filter_rate", rate)
+    record = stats_record(cleansed(spark, sf_dir))
+    return record.select("total_input", "total_output", "filter_rate", *(shown(F.col(c)).alias(c) for c in ("quality_filter_stats", "dedup_stats", "redaction_summary")))
 
 
 KEYWORDS = ["the", "sch", "tion", "une", "ción", "(x)"]
@@ -163,6 +229,16 @@ def budget_stats(spark, sf_dir):
     return kept.crossJoin(skipped).select("total_docs", "total_tokens", "skipped_short")
 
 
+_COUNTED = "len(regexp_extract_all({0}, '''(?:s|t|re|ve|m|ll|d)| ?\\p{{L}}+| ?\\p{{N}}+| ?[^\\s\\p{{L}}\\p{{N}}]+|\\s+'))"
+
+
+@query(f"""SELECT conv_id, turn, CAST(floor(length(coalesce(text, '')) / 1.5) AS BIGINT) AS estimated, CAST({_COUNTED.format("coalesce(text, '')")} AS BIGINT) AS counted FROM conversations""")
+def token_counts(spark, sf_dir):
+    """Tokens by the estimate and by a counter that is passed in, here of the words that a byte-level tokenizer splits."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", sample.counted_tokens(text).alias("estimated"), sample.counted_tokens(text, lambda c: F.size(tokens.pretokens(c))).alias("counted"))
+
+
 @query(f"SELECT count(*) AS docs, coalesce(avg(length(text)), 0) AS mean_chars, CAST(floor(coalesce(sum(length(text)), 0) / 1.5) AS BIGINT) AS est_tokens FROM ({_LONG})")
 def corpus_stats(spark, sf_dir):
     n = F.coalesce(F.sum(F.length("text")), F.lit(0))
@@ -232,6 +308,47 @@ def jsonl_strict(spark, sf_dir):
     return jsonl.strict(json_rows(spark, sf_dir).where("doc_id % 13 <> 2"), _SCHEMA).select("doc_id", "n")
 
 
+def json_files(spark, sf_dir, where="true"):
+    """The lines as files in the work folder, in order; their path."""
+    path = work_path(spark, "lines")
+    sinks.raw_lines(json_rows(spark, sf_dir).where(where).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id"), path)
+    return path
+
+
+_NUMBERED = f"SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS line_no FROM ({_LINES})"
+
+
+@query(f"""SELECT line_no, NOT coalesce(json_valid(value), false) AS json_error, CASE WHEN json_valid(value) THEN CAST(json_extract(value, '$.id') AS BIGINT) END AS id FROM ({_NUMBERED})""")
+def jsonl_files(spark, sf_dir):
+    """Files of lines scanned with every line counted, in file order."""
+    return jsonl.tolerant(jsonl.numbered(jsonl.lines(spark, json_files(spark, sf_dir))), _SCHEMA).select("line_no", "json_error", "id")
+
+
+@query(f"""SELECT CAST(record AS BIGINT) AS record, CASE WHEN json_valid(value) THEN CAST(json_extract(value, '$.id') AS BIGINT) END AS id
+FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS record FROM ({_LINES}) WHERE trim(value) <> '') WHERE record % 97 = 5""")
+def jsonl_lookup(spark, sf_dir):
+    """Records of files by their number, blank lines not counted."""
+    index = jsonl.index(jsonl.lines(spark, json_files(spark, sf_dir)))
+    wanted = spark.range(5, table(spark, sf_dir, "documents").count(), 97).select(F.col("id").alias("record"))
+    return jsonl.tolerant(jsonl.lookup(index, wanted), _SCHEMA).select("record", "id")
+
+
+@query(f"SELECT doc_id AS id, n_chars AS n, lang FROM documents WHERE doc_id % 13 NOT IN (1, 2, 3)")
+def jsonl_records(spark, sf_dir):
+    """A JSON data set read with its schema."""
+    return jsonl.records(spark, json_files(spark, sf_dir, "doc_id % 13 NOT IN (1, 2, 3)"), _SCHEMA).select("id", "n", "lang")
+
+
+@query(f"SELECT doc_id, CAST(length({T.sql_strip('text')}) AS BIGINT) AS n FROM documents WHERE length({T.sql_strip('text')}) >= 50")
+def hub_stream(spark, sf_dir):
+    """A data set of a local mirror read as a stream, its texts stripped and short ones left out."""
+    docs = table(spark, sf_dir, "documents")
+    stream = mirror.dataset(spark, sf_dir, "documents", docs.schema, streaming=True).select("doc_id", T.strip(F.col("text")).alias("text")).where(F.length("text") >= 50)
+    at = work_path(spark, "hub")
+    cleanse.drain(stream.select("doc_id", F.length("text").cast("long").alias("n")), f"{at}/out", f"{at}/state")
+    return spark.read.schema("doc_id long, n long").parquet(f"{at}/out")
+
+
 @query("""SELECT doc_id, CAST(item AS INT) AS item, text FROM (
 SELECT doc_id, 0 AS item, lang AS text FROM documents UNION ALL SELECT doc_id, 1, source FROM documents UNION ALL SELECT doc_id, 2, 'turn ' || n_chars FROM documents WHERE doc_id % 2 = 0)""")
 def collect_texts(spark, sf_dir):
@@ -346,15 +463,8 @@ def guide_lookup(spark, sf_dir):
 @query("SELECT count(DISTINCT text) AS texts, count(*) AS fingerprints FROM (SELECT DISTINCT fp, min(text) AS text FROM (SELECT text, " + dedup.FINGERPRINT_SQL.format(t="text") + " AS fp FROM documents) GROUP BY fp)")
 def stream_dedup(spark, sf_dir):
     """Documents as a stream, deduplicated by fingerprint; whichever comes first stays, so only numbers are the same in every run."""
-    from textloom.streaming import cleanse
-
     docs = table(spark, sf_dir, "documents")
-    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if _is_file(spark, f"{sf_dir}/documents.parquet") else cleanse.read(spark, f"{sf_dir}/documents.parquet", docs.schema, 8)
+    stream = mirror.dataset(spark, sf_dir, "documents", docs.schema, streaming=True)
     at = work_path(spark, "stream")
     cleanse.drain(stream.withColumn("fp", dedup.fingerprint(F.col("text"))).dropDuplicates(["fp"]).select("doc_id", "text", "fp"), f"{at}/out", f"{at}/state")
     return spark.read.schema("doc_id long, text string, fp string").parquet(f"{at}/out").agg(F.count_distinct("text").alias("texts"), F.count_distinct("fp").alias("fingerprints"))
-
-
-def _is_file(spark, path: str) -> bool:
-    h = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return h.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(h).isFile()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
 from textloom.operators import clean, evals, training
 from textloom.plans.base import query
-from textloom.sources.tables import table
+from textloom.sources import sinks
+from textloom.sources.tables import table, work_path
 
 _ANSWERS = "SELECT doc_id, quality, toxic, 'answer: ' || CASE WHEN quality = 1 THEN 'B' ELSE 'none' END AS a, CASE WHEN toxic = 1 THEN 'C or B' ELSE 'B.' END AS b FROM labels"
 
@@ -43,6 +45,21 @@ def choice_prompts(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", evals.choice_prompt(F.col("text"), options).alias("prompt"))
 
 
+_THOUGHTS = """SELECT CASE WHEN turn % 2 = 0 THEN 'A' ELSE 'B' END AS track, CASE WHEN turn % 3 = 0 THEN 'plain ' ELSE '<thinking>' || role || '</thinking>' END || CASE WHEN conv_id % 2 = 0 THEN 'no' ELSE coalesce(text, '') END AS a FROM conversations"""
+_TAIL = T.sql_strip("CASE WHEN contains(a, '</thinking>') THEN substr(a, strpos(a, '</thinking>') + 11) ELSE a END")
+_THINKING = f"""SELECT track, h / n AS think_tag_rate, s / n AS structured_rate, h AS think_count, s AS structured_count, n AS total FROM (SELECT track, count(*) AS n,
+count(*) FILTER (contains(a, '<thinking>') AND contains(a, '</thinking>')) AS h, count(*) FILTER (contains(a, '<thinking>') AND contains(a, '</thinking>') AND length({_TAIL}) > 10) AS s FROM ({_THOUGHTS}) GROUP BY 1)"""
+
+
+@query(_THINKING)
+def thinking_rates(spark, sf_dir):
+    """Two tracks' answers, some with a thinking block: how many have one, and how many go on after it."""
+    tag = F.when(F.col("turn") % 3 == 0, "plain ").otherwise(F.concat(F.lit("<thinking>"), F.col("role"), F.lit("</thinking>")))
+    rest = F.when(F.col("conv_id") % 2 == 0, "no").otherwise(F.coalesce("text", F.lit("")))
+    rows = table(spark, sf_dir, "conversations").select(F.when(F.col("turn") % 2 == 0, "A").otherwise("B").alias("track"), F.concat(tag, rest).alias("a"))
+    return evals.thinking_rates(rows, "a", "track")
+
+
 NAMES = ["Nova"]
 _PERSONA = " UNION ALL ".join(
     f"SELECT '{t}' AS track, '{k}' AS criterion, round(count(*) FILTER ({' OR '.join(f'contains({t}, {chr(39)}{w}{chr(39)})' for w in words)}) / count(*), 3) AS score FROM s"
@@ -53,10 +70,37 @@ _SAMPLES = "SELECT CASE WHEN role = 'user' THEN '~ ' || coalesce(text, '') ELSE
 
 @query(f"WITH s AS ({_SAMPLES}) {_PERSONA}")
 def persona_scores(spark, sf_dir):
+    return evals.persona_scores(persona_samples(spark, sf_dir), ["a", "b"], NAMES)
+
+
+def persona_samples(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     a = F.when(F.col("role") == "user", F.concat(F.lit("~ "), F.coalesce("text", F.lit("")))).otherwise("Nova: 仅供参考")
     b = F.when(F.col("turn") % 2 == 0, "陪你...").otherwise(F.coalesce("text", F.lit("")))
-    return evals.persona_scores(rows.select(a.alias("a"), b.alias("b")), ["a", "b"], NAMES)
+    return rows.select(a.alias("a"), b.alias("b"))
+
+
+@query(f"""WITH s AS ({_SAMPLES}), m AS ({_MCQ}), t AS ({_THINKING}), p AS ({_PERSONA}), x AS (SELECT (SELECT accuracy FROM m WHERE track = 'A') AS a, (SELECT accuracy FROM m WHERE track = 'B') AS b)
+SELECT 'mcq ' || track AS name, round(accuracy, 6) AS value FROM m UNION ALL SELECT 'think ' || track, round(think_tag_rate, 6) FROM t UNION ALL SELECT 'structured ' || track, round(structured_rate, 6) FROM t
+UNION ALL SELECT 'persona ' || upper(track) || ' ' || criterion, score FROM p UNION ALL SELECT 'diff ' || CASE WHEN a > b THEN 'A' WHEN b > a THEN 'B' ELSE 'tie' END, round(a - b, 4) FROM x UNION ALL SELECT 'samples', count(*) FROM s""")
+def comparison_report(spark, sf_dir):
+    """The comparison of two tracks and its samples, written as two JSON files and read back."""
+    scores = persona_scores(spark, sf_dir).withColumn("track", F.upper("track"))
+    report = evals.comparison(mcq_accuracy(spark, sf_dir), thinking_rates(spark, sf_dir), scores)
+    at = work_path(spark, "comparison")
+    sinks.comparison(report, persona_samples(spark, sf_dir), at)
+    read = spark.read.schema(report.schema).json(f"{at}.json")
+    samples = spark.read.schema("a string, b string").json(f"{at}_samples.json")
+    tracks = F.array(F.lit("A"), F.lit("B"))
+    entry = lambda name, value: F.struct(name.alias("name"), value.cast("double").alias("value"))
+    parts = F.concat(
+        F.transform(tracks, lambda t: entry(F.concat(F.lit("mcq "), t), F.round(F.col("mcq")[t].accuracy, 6))),
+        F.transform(tracks, lambda t: entry(F.concat(F.lit("think "), t), F.round(F.col("thinking")[t].think_tag_rate, 6))),
+        F.transform(tracks, lambda t: entry(F.concat(F.lit("structured "), t), F.round(F.col("thinking")[t].structured_rate, 6))),
+        F.flatten(F.transform(tracks, lambda t: F.transform(F.map_entries(F.col("personality")[t]), lambda e: entry(F.concat(F.lit("persona "), t, F.lit(" "), e.key), e.value)))),
+        F.array(entry(F.concat(F.lit("diff "), F.col("winner")), F.col("diff"))),
+    )
+    return read.select(F.explode(parts).alias("e")).select("e.*").unionByName(samples.agg(F.lit("samples").alias("name"), F.count(F.lit(1)).cast("double").alias("value")))
 
 
 @query("""SELECT event_type, round(avg(v), 3) AS avg_latency_sec, round(avg(user_id), 1) AS avg_tokens_generated, round(CASE WHEN avg(v) > 0 THEN avg(user_id) / avg(v) ELSE 0 END, 1) AS tokens_per_sec

@@ -39,6 +39,13 @@ def pack_sequences(spark, sf_dir):
     return packed.select("chunk", joined(F.col("input_ids")).alias("ids"), joined(F.col("labels")).alias("labels"))
 
 
+@query(f"""{_PACKED} SELECT chunk, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY o)) AS ids FROM c GROUP BY 1 HAVING count(*) = {LENGTH} ORDER BY chunk LIMIT 5""")
+def pack_first(spark, sf_dir):
+    """The first five sequences, as the cap on emitted samples leaves them."""
+    packed = tokens.pack(wrapped(spark, sf_dir, 1 << 30), "doc_id", "ids", LENGTH)
+    return tokens.first_sequences(packed, "chunk", 5).select("chunk", joined(F.col("input_ids")).alias("ids"))
+
+
 _PAD = "array_to_string(list_concat({0}, list_transform(range(0, greatest({1} - len(ids), 0)), lambda x: {2})), ',')"
 
 
@@ -74,21 +81,30 @@ def chatml_render(spark, sf_dir):
     return conversations(spark, sf_dir).select("conv_id", chat.render(chat.source_messages(F.lit(None), F.col("messages")), prompt=True).alias("prompt"))
 
 
-@query(f"""SELECT conv_id, CAST(length({_RENDER}) AS BIGINT) AS n_ids, CAST(coalesce(sum(length(coalesce(text, '')) + 11) FILTER (role = 'assistant'), 0) AS BIGINT) AS n_learned FROM conversations GROUP BY 1""")
+_TURN = "'<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10)"
+#: A conversation as its rendered text and a 1 for each character that is learned.
+_MARKED = f"""SELECT conv_id, string_agg({_TURN}, '' ORDER BY turn) AS r,
+string_agg(CASE WHEN role = 'assistant' THEN repeat('0', 22) || repeat('1', length(coalesce(text, '')) + 11) ELSE repeat('0', length({_TURN})) END, '' ORDER BY turn) AS m FROM conversations GROUP BY 1"""
+
+
+@query(f"""SELECT conv_id, CAST(length(r) AS BIGINT) AS n_ids, CAST(length(replace(m, '0', '')) AS BIGINT) AS n_learned, md5(m) AS mask FROM ({_MARKED})""")
 def assistant_mask(spark, sf_dir):
-    ids = conversations(spark, sf_dir).select("conv_id", T.held(tokens.code_points(chat.render(F.col("messages")))).alias("ids"))
+    ids = spread(conversations(spark, sf_dir)).select("conv_id", T.held(tokens.code_points(chat.render(F.col("messages")))).alias("ids"))
     mask = ids.select("conv_id", "ids", T.held(chat.assistant_mask(F.col("ids"))).alias("mask"))
-    return mask.select("conv_id", F.size("ids").cast("long").alias("n_ids"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n_learned"))
+    learned = F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long")
+    return mask.select("conv_id", F.size("ids").cast("long").alias("n_ids"), learned.alias("n_learned"), F.md5(F.array_join(F.transform("mask", lambda x: x.cast("string")), "")).alias("mask"))
 
 
-_TURNS = "SELECT conv_id, turn, role, coalesce(text, '') AS text, sum(length(coalesce(text, '')) + length(role) + 24) OVER (PARTITION BY conv_id ORDER BY turn) AS stop FROM conversations"
+_CHARS = "string_split({0}, '')"
 
 
-@query(f"""SELECT conv_id, CAST(1024 AS BIGINT) AS n_ids, CAST(coalesce(sum(greatest(least(stop, 1024) - (stop - length(text) - 11), 0)) FILTER (role = 'assistant'), 0) AS BIGINT) AS n_learned FROM ({_TURNS}) GROUP BY 1""")
+@query(f"""WITH c AS (SELECT conv_id, {_CHARS.format("left(r, 1024)")} AS r, {_CHARS.format("left(m, 1024)")} AS m FROM ({_MARKED}))
+SELECT conv_id, md5(array_to_string(list_transform(range(1, 1025), lambda i: CASE WHEN i <= len(r) THEN unicode(r[i]) + 16 ELSE 0 END), ',')) AS ids,
+md5(array_to_string(list_transform(range(1, 1025), lambda i: CASE WHEN i <= len(r) AND m[i] = '1' THEN unicode(r[i]) + 16 ELSE -100 END), ',')) AS labels FROM c""")
 def sft_examples(spark, sf_dir):
-    """Rendered conversations cut and padded to 1024 ids; how many of them are learned."""
-    rows = chat.sft_example(conversations(spark, sf_dir), "messages", 1024)
-    return rows.select("conv_id", F.size("input_ids").cast("long").alias("n_ids"), F.size(F.filter("labels", lambda x: x != tokens.IGNORE)).cast("long").alias("n_learned"))
+    """Rendered conversations cut and padded to 1024 ids, and the labels of the ids that are learned."""
+    rows = chat.sft_example(spread(conversations(spark, sf_dir)), "messages", 1024)
+    return rows.select("conv_id", joined(F.col("input_ids")).alias("ids"), joined(F.col("labels")).alias("labels"))
 
 
 @query("""SELECT doc_id, '<|im_start|>system' || chr(10) || 'You help.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || source || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || text || '<|im_end|>' || chr(10) AS rendered,
@@ -107,20 +123,31 @@ _PAIRS = "SELECT a.conv_id, a.text AS prompt, b.text AS chosen, c.text AS reject
 _SIDE = "'<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || {0} || '<|im_end|>' || chr(10)"
 
 
-@query(f"""WITH p AS ({_PAIRS}), r AS (SELECT conv_id, prompt, {_SIDE.format("chosen")} AS c, {_SIDE.format("rejected")} AS r, length(chosen) AS nc FROM p)
-SELECT conv_id, md5(c) AS chosen, md5(r) AS rejected, CAST(511 AS BIGINT) AS n_x, CAST(greatest(least(length(c), 512) - (length(c) - nc - 11), 0) AS BIGINT) AS n_targets FROM r""")
+def _shifted_sql(side: str, answer: str) -> str:
+    """Target and mask of a side's 511 shifted places; the answer's ids and its end mark are learned."""
+    at = "list_transform(range(2, 513), lambda i: {0})"
+    learned = f"i > length({side}) - length({answer}) - 11 AND i <= length({side})"
+    return f"""md5(array_to_string({at.format(f"CASE WHEN i <= length({side}) THEN unicode({side}_c[i]) + 16 ELSE 0 END")}, ',')) AS {answer}_y,
+md5(array_to_string({at.format(f"CASE WHEN {learned} THEN 1 ELSE 0 END")}, ',')) AS {answer}_mask"""
+
+
+@query(f"""WITH p AS ({_PAIRS}), r AS (SELECT conv_id, chosen, rejected, {_SIDE.format("chosen")} AS c, {_SIDE.format("rejected")} AS r FROM p), s AS (SELECT *, {_CHARS.format("left(c, 512)")} AS c_c, {_CHARS.format("left(r, 512)")} AS r_c FROM r)
+SELECT conv_id, md5(c) AS chosen, md5(r) AS rejected, {_shifted_sql("c", "chosen")}, {_shifted_sql("r", "rejected")} FROM s""")
 def dpo_pairs(spark, sf_dir):
-    """Two answers of a conversation to its question as a preference pair, shifted and masked to 512."""
+    """Two answers of a conversation to its question as a preference pair, both shifted and masked to 512."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = lambda name, role, shift: turns.where(F.col("role") == role).select("conv_id", (F.col("turn") - shift).alias("turn"), F.col("text").alias(name))
     pairs = own("prompt", "user", 0).join(own("chosen", "assistant", 1), ["conv_id", "turn"]).join(own("rejected", "assistant", 3), ["conv_id", "turn"])
     prefix = F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")))
     none = F.expr("cast(null as array<struct<role: string, content: string>>)")
     chosen, rejected = chat.sides_of(prefix, F.col("chosen"), F.col("rejected"), none, none)
-    rows = pairs.select("conv_id", T.held(chat.render(chosen)).alias("c"), chat.render(rejected).alias("r"))
-    rows = rows.withColumn("ids", tokens.code_points(F.col("c"))).select("*", T.held(chat.assistant_mask(F.col("ids"))).alias("mask"))
-    side = tokens.shifted(F.col("ids"), F.col("mask"), 512)
-    return rows.select("conv_id", F.md5("c").alias("chosen"), F.md5("r").alias("rejected"), F.size(side["x"]).cast("long").alias("n_x"), F.aggregate(side["mask"], F.lit(0), lambda a, x: a + x).cast("long").alias("n_targets"))
+    rows = spread(pairs).select("conv_id", T.held(chat.render(chosen)).alias("chosen"), T.held(chat.render(rejected)).alias("rejected"))
+    out = [F.col("conv_id"), F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected")]
+    for name in ("chosen", "rejected"):
+        rows = rows.withColumn(f"{name}_ids", tokens.code_points(F.col(name))).select("*", T.held(chat.assistant_mask(F.col(f"{name}_ids"))).alias(f"{name}_m"))
+        side = tokens.shifted(F.col(f"{name}_ids"), F.col(f"{name}_m"), 512)
+        out += [joined(side["y"]).alias(f"{name}_y"), joined(side["mask"]).alias(f"{name}_mask")]
+    return rows.select(*out)
 
 
 _STRIP = T.sql_strip

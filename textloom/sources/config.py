@@ -5,15 +5,16 @@ from __future__ import annotations
 from typing import Any
 
 
-def flatten(tree: dict, prefix: str = "") -> dict[str, Any]:
-    """A nested mapping as one level, names joined by underscores."""
+def flatten(tree: dict) -> dict[str, Any]:
+    """A nested mapping as one level, names joined by underscores, in the tree's order."""
     out: dict[str, Any] = {}
-    for key, value in tree.items():
-        name = f"{prefix}_{key}" if prefix else str(key)
-        if isinstance(value, dict):
-            out |= flatten(value, name)
+    todo = [((), tree)]
+    while todo:
+        path, node = todo.pop()
+        if isinstance(node, dict):
+            todo += [((*path, str(key)), node[key]) for key in reversed(node)]
         else:
-            out[name] = value
+            out["_".join(path)] = node
     return out
 
 

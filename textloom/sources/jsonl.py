@@ -55,6 +55,16 @@ def line_at(df: DataFrame, number: int, order: str = "line_no") -> DataFrame:
     return df.where(F.col(order) == number)
 
 
+def index(df: DataFrame, value: str = "value") -> DataFrame:
+    """The lines that are not blank with their number as ``record``, from 0 in file order."""
+    return numbered(df.where(F.regexp_replace(F.col(value), r"(?U)[\s\x1c-\x1f]", "") != "")).withColumnRenamed("line_no", "record")
+
+
+def lookup(indexed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The records whose numbers a table (record) names."""
+    return indexed.join(wanted.select("record").distinct(), "record", "left_semi")
+
+
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """Adds ``line_no`` from 0 in file order, by counts of the files' blocks."""
     counts = df.groupBy("file", "block").agg(F.count(F.lit(1)).alias("__n"))  # one row a block

@@ -33,5 +33,12 @@ def one_file(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def comparison(report: DataFrame, samples: DataFrame, path: str) -> None:
+    """A comparison's figures to ``path.json`` and its samples, where there are any, to ``path_samples.json``."""
+    one_file(report, f"{path}.json")
+    if not samples.isEmpty():
+        json_lines(samples, f"{path}_samples.json", "overwrite")
+
+
 def show_table(df: DataFrame, rows: int = 100) -> None:
     df.show(rows, truncate=False)
