@@ -99,6 +99,11 @@ def keyword_pattern(keywords: list[str]) -> str:
     return "(?iu)" + "|".join(rf"\Q{k}\E" for k in keywords)
 
 
+def text_or(text: Column, content: Column) -> Column:
+    """The text, or the content where the text is empty or missing."""
+    return F.coalesce(T.truthy(text), content, F.lit(""))
+
+
 def has_keywords(c: Column, keywords: list[str], least: int = 2) -> Column:
     return F.regexp_count(c, F.lit(keyword_pattern(keywords))) >= least
 

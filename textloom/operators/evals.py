@@ -78,6 +78,11 @@ def persona_scores(answers: DataFrame, tracks: list[str], names: list[str]) -> D
     return answers.agg(F.array(*scores).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
+def compared(first: DataFrame, second: DataFrame, key: str, answer: str) -> DataFrame:
+    """(key, a, b): two tracks' answers to the same prompt; prompts that one of them lacks are left out."""
+    return first.select(key, F.col(answer).alias("a")).join(second.select(key, F.col(answer).alias("b")), key)
+
+
 def latency(df: DataFrame, seconds: str, generated: str, *keys: str) -> DataFrame:
     """Mean seconds, mean tokens, and tokens a second as the ratio of the means."""
     s, t = F.avg(seconds), F.avg(generated)
@@ -94,6 +99,16 @@ def run_summary(log: DataFrame, run: str, step: str, loss: str) -> DataFrame:
     return rows.select(run, F.col("b.loss").alias("best_loss"), F.col("b.step").alias("best_step"), F.col("l.loss").alias("last_loss"), F.col("l.step").alias("last_step"), perplexity(F.col("b.loss")).alias("best_perplexity"))
 
 
+def training_report(train: DataFrame, evaluated: DataFrame) -> DataFrame:
+    """One row from two logs, (step, loss, seconds) and (step, eval_loss): final step, hours, best and last losses; null for what was not logged."""
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("step", c)))[c]
+    best = F.min(F.when(F.col("eval_loss").isNotNull(), F.struct("eval_loss", "step")))
+    a = train.agg(F.max("step").alias("final_step"), F.round(F.max("seconds") / 3600, 2).alias("total_time_hours"), F.round(last("loss"), 6).alias("final_train_loss"))
+    b = evaluated.agg(best.alias("best"), last("eval_loss").alias("last"))
+    one = a.crossJoin(b)  # one row each
+    return one.select("final_step", "total_time_hours", F.round("best.eval_loss", 6).alias("best_eval_loss"), F.col("best.step").alias("best_eval_step"), "final_train_loss", F.round("last", 6).alias("final_eval_loss"), F.round(perplexity(F.col("last")), 2).alias("final_eval_perplexity"))
+
+
 def perplexity(loss: Column) -> Column:
     """e to the loss; infinite where it overflows."""
     return F.exp(loss)

@@ -55,6 +55,34 @@ def clean_pages(spark, sf_dir):
     return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", clean.clean(F.col("html")).alias("text"))
 
 
+#: Texts in which every cleaning step has something to do; ``#`` is a number of the row.
+_MARKED = [
+    "<p>Hello &amp; good&#160;bye</p> see https://a.b/c?d=# now", "首页 > 新闻\nBody # text\n 返回列表 x\nlast", "start Copyright © 202# all\nrest", "本网站使用很多 Cookie 来 # 继续浏览即表示同意。end",
+    "a\n\n\n\n\nb     c\t\t\t\t\td", '"  quoted # text  "', "  \u3000 one \n\n \u00a0two\u2003\n#", "www.x.y/z<b>bold</b> All Rights Reserved 20#",
+]
+
+
+def marked_texts(spark, sf_dir):
+    return filled(table(spark, sf_dir, "documents").select("doc_id"), _MARKED)
+
+
+def filled(rows, texts):
+    """(doc_id, text): one of the texts for each row, by its number, which stands for ``#`` too."""
+    own = F.element_at(F.array(*map(F.lit, texts)), (F.col("doc_id") % len(texts) + 1).cast("int"))
+    return rows.select("doc_id", F.replace(own, F.lit("#"), (F.col("doc_id") % 10).cast("string")).alias("text"))
+
+
+def _filled_sql(texts: list[str]) -> str:
+    own = ", ".join("'" + t.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'" for t in texts)
+    return f"SELECT doc_id, replace(list_extract([{own}], CAST(doc_id % {len(texts)} AS INT) + 1), '#', CAST(doc_id % 10 AS VARCHAR)) AS text FROM documents"
+
+
+@query(f"SELECT doc_id, {clean.clean_sql('text')} AS text FROM ({_filled_sql(_MARKED)})")
+def clean_marked(spark, sf_dir):
+    """Every cleaning step over made texts."""
+    return marked_texts(spark, sf_dir).select("doc_id", clean.clean(F.col("text")).alias("text"))
+
+
 _N = ", ".join(r[0] for r in scrub.RULES)
 _LAST = f"r{len(scrub.RULES) - 1}"
 
@@ -93,16 +121,14 @@ _NAMED = [
 
 
 def named_texts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id")
-    return rows.select("doc_id", F.replace(F.element_at(F.array(*map(F.lit, _NAMED)), (F.col("doc_id") % len(_NAMED) + 1).cast("int")), F.lit("#"), (F.col("doc_id") % 10).cast("string")).alias("text"))
+    return filled(table(spark, sf_dir, "documents").select("doc_id"), _NAMED)
 
 
-_NAMED_SQL = f"SELECT doc_id, replace(list_extract([{', '.join(f"'{t}'" for t in _NAMED)}], CAST(doc_id % {len(_NAMED)} AS INT) + 1), '#', CAST(doc_id % 10 AS VARCHAR)) AS text FROM documents"
 _ADDRESS_SQL = f"(?:{scrub._PART}){{2,}}"
 _DETAILED_SQL = f"len(regexp_extract_all(f, '{scrub.ADDRESS_PART}')) >= {scrub.ADDRESS_LEAST}"
 
 
-@query(f"""WITH d AS ({_NAMED_SQL}), {scrub.scrub_sql("d")}, a AS (SELECT *, regexp_extract_all(text, '{_ADDRESS_SQL}') AS found, string_split_regex(text, '{_ADDRESS_SQL}') AS parts FROM {_LAST})
+@query(f"""WITH d AS ({_filled_sql(_NAMED)}), {scrub.scrub_sql("d")}, a AS (SELECT *, regexp_extract_all(text, '{_ADDRESS_SQL}') AS found, string_split_regex(text, '{_ADDRESS_SQL}') AS parts FROM {_LAST})
 SELECT doc_id, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || CASE WHEN i > len(found) THEN '' WHEN len(regexp_extract_all(found[i], '{scrub.ADDRESS_PART}')) >= {scrub.ADDRESS_LEAST} THEN '{scrub.ADDRESS_PUT}' ELSE found[i] END), '') AS text,
 {_N}, CAST(len(list_filter(found, lambda f: {_DETAILED_SQL})) AS BIGINT) AS n_address FROM a""")
 def scrub_named(spark, sf_dir):
@@ -194,6 +220,16 @@ def keyword_filter(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where(clean.has_keywords(F.coalesce("text", F.lit("")), KEYWORDS, 200)).select("doc_id")
 
 
+@query("""SELECT doc_id, source FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN NULL ELSE lang END AS text, CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END AS content, source FROM documents)
+WHERE len(regexp_extract_all(coalesce(nullif(text, ''), content, ''), '(?i)the|sch|tion|une|ción|\\(x\\)|en')) >= 2""")
+def keyword_fallback(spark, sf_dir):
+    """Records with ``text`` or, where that is empty or missing, ``content``."""
+    docs = table(spark, sf_dir, "documents")
+    own = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 2, F.col("lang"))
+    rows = spread(docs.select("doc_id", "source", own.alias("text"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("").alias("content")))
+    return rows.where(clean.has_keywords(clean.text_or(F.col("text"), F.col("content")), [*KEYWORDS, "en"], 2)).select("doc_id", "source")
+
+
 @query("SELECT doc_id, text FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '(?i)the|sch|tion|une|ción|\\(x\\)')) >= 2 ORDER BY doc_id LIMIT 25")
 def keyword_first(spark, sf_dir):
     """The first 25 documents that match, as the scan's stop after so many does."""
@@ -439,6 +475,44 @@ def new_prompts_by_category(spark, sf_dir):
     return dedup.new_prompts(docs.where("lang <> 'en'"), docs.where("lang = 'en'"), ["cat", "prompt"], "doc_id")
 
 
+LEGACY = ["en", "fr", "de (x)+y", "nl"]
+
+
+@query("""SELECT DISTINCT 'en' AS cat, 'p' || doc_id % 7 AS prompt FROM documents WHERE lang = 'en' AND doc_id % 7 <> 3
+UNION SELECT DISTINCT 'fr', 'p' || doc_id % 5 FROM documents WHERE lang = 'fr' UNION SELECT DISTINCT 'de (x)+y', 'p' || doc_id % 5 FROM documents WHERE lang = 'de'""")
+def legacy_prompts(spark, sf_dir):
+    """Per-category text files, with blanks around their lines and blank lines, merged into the prompts that are known; a category without a file is skipped."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    at = work_path(spark, "legacy")
+    for name, lang, n in (("en", "en", 7), ("fr", "fr", 5), ("de (x)+y", "de", 5), ("other", "es", 2)):
+        line = F.when(F.col("doc_id") % 11 == 0, F.lit("  ")).otherwise(F.concat(F.lit("\u3000p"), (F.col("doc_id") % n).cast("string"), F.lit(" \t")))
+        every = docs.where(F.col("lang") == lang).select(F.explode(F.array(line, F.concat(F.lit("p"), (F.col("doc_id") % n).cast("string")))).alias("value"))
+        sinks.raw_lines(every, f"{at}/{collectors.safe_name(name)}_prompts.txt")
+    known = spark.createDataFrame([("en", "p3"), ("nl", "p1")], "cat string, prompt string")
+    return collectors.legacy_prompts(collectors.prompt_lines(spark, f"{at}/*_prompts.txt"), LEGACY, known)
+
+
+@query("SELECT CAST(k AS VARCHAR) AS sink, count(*) AS n, md5(string_agg(t, '|' ORDER BY t)) AS rows FROM (SELECT 'lines' AS k, '{\"id\": ' || doc_id AS t FROM documents UNION ALL SELECT 'texts', CAST(doc_id AS VARCHAR) FROM documents UNION ALL SELECT 'appended', lang || doc_id FROM documents) GROUP BY 1")
+def sink_round_trips(spark, sf_dir):
+    """Raw lines, stripped texts and records that two jobs append, written and read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    at = work_path(spark, "sinks")
+    sinks.raw_lines(docs.select(F.concat(F.lit('{"id": '), F.col("doc_id").cast("string")).alias("value")), f"{at}/lines")
+    sinks.texts(docs.select(F.concat(F.lit(" \u3000"), F.col("doc_id").cast("string"), F.lit("\n")).alias("text")), f"{at}/texts")
+    for part in (0, 1):
+        sinks.append(docs.where(F.col("doc_id") % 2 == part).select("lang", "doc_id"), f"{at}/appended")
+    found = {
+        "lines": spark.read.text(f"{at}/lines").select(F.col("value").alias("t")),
+        "texts": spark.read.schema("text string").json(f"{at}/texts").select(F.col("text").alias("t")),
+        "appended": spark.read.schema("lang string, doc_id long").json(f"{at}/appended").select(F.concat("lang", F.col("doc_id").cast("string")).alias("t")),
+    }
+    out = None
+    for name, rows in found.items():
+        one = rows.agg(F.lit(name).alias("sink"), F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("t")), "|")).alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("""SELECT c AS cat, count(conv_id) AS n, md5(coalesce(string_agg(text, '|' ORDER BY conv_id, turn), '')) AS prompts
 FROM (VALUES ('user'), ('assistant'), ('tool')) AS t(c) LEFT JOIN conversations ON role = c GROUP BY 1""")
 def prompt_cache(spark, sf_dir):

@@ -147,6 +147,40 @@ def masked_cross_entropy(spark, sf_dir):
     return training.cross_entropy(rows, "lp", "label").withColumn("loss", F.round("loss", 9))
 
 
+@query("SELECT vec_id, round(CAST(embedding[vec_id % 6 + 1] AS DOUBLE), 6) AS lp FROM embeddings WHERE vec_id % 7 <> 0 UNION ALL SELECT vec_id, NULL FROM embeddings WHERE vec_id % 7 = 0")
+def gathered_log_probs(spark, sf_dir):
+    """A vector's entry at its row's label; none for labels beyond it."""
+    label = F.when(F.col("vec_id") % 7 == 0, 1_000_000).otherwise(F.col("vec_id") % 6).cast("int")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(training.gathered(F.col("embedding"), label).cast("double"), 6).alias("lp"))
+
+
+@query(f"SELECT x.doc_id, x.a, y.b FROM ({_ANSWERS}) x JOIN ({_ANSWERS}) y USING (doc_id) WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0")
+def compared_answers(spark, sf_dir):
+    """Two tracks' answers by prompt, each track without some of them."""
+    rows = answers(spark, sf_dir)
+    first, second = rows.where("doc_id % 5 <> 0").select("doc_id", F.col("a").alias("answer")), rows.where("doc_id % 7 <> 0").select("doc_id", F.col("b").alias("answer"))
+    return evals.compared(first, second, "doc_id", "answer")
+
+
+_LOGS = "SELECT event_id AS step, CASE WHEN event_id % 4 <> 0 THEN value / 10 END AS loss, event_id / 50.0 AS seconds, CASE WHEN event_id % 10 = 0 THEN value / 25 END AS eval_loss FROM events"
+
+
+@query(f"""SELECT max(step) AS final_step, round(max(seconds) / 3600, 2) AS total_time_hours, round(min(eval_loss), 6) AS best_eval_loss, arg_min(step, (eval_loss, step)) FILTER (eval_loss IS NOT NULL) AS best_eval_step,
+round(arg_max(loss, step) FILTER (loss IS NOT NULL), 6) AS final_train_loss, round(arg_max(eval_loss, step) FILTER (eval_loss IS NOT NULL), 6) AS final_eval_loss,
+round(exp(arg_max(eval_loss, step) FILTER (eval_loss IS NOT NULL)), 2) AS final_eval_perplexity FROM ({_LOGS})""")
+def training_report(spark, sf_dir):
+    """Events as the steps of a run: its logs written as JSON lines, and the report over what is read back, written as one file."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), "value")
+    train = events.select("step", F.when(F.col("step") % 4 != 0, F.col("value") / 10).alias("loss"), (F.col("step") / 50.0).alias("seconds"))
+    at = work_path(spark, "run")
+    sinks.json_lines(train, f"{at}/train_log.jsonl")
+    sinks.json_lines(events.where("step % 10 = 0").select("step", (F.col("value") / 25).alias("eval_loss")), f"{at}/eval_log.jsonl")
+    logs = (spark.read.schema(schema).json(f"{at}/{name}.jsonl") for name, schema in (("train_log", "step long, loss double, seconds double"), ("eval_log", "step long, eval_loss double")))
+    report = evals.training_report(*logs)
+    sinks.one_file(report, f"{at}/report.json")
+    return spark.read.schema(report.schema).json(f"{at}/report.json")
+
+
 @query("""WITH p AS (SELECT l_orderkey, l_linenumber, exp(l_quantity / 10 - max(l_quantity / 10) OVER w) AS e FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)),
 q AS (SELECT *, e / sum(e) OVER (PARTITION BY l_orderkey) AS p FROM p)
 SELECT l_orderkey, l_linenumber FROM (SELECT *, sum(p) OVER (PARTITION BY l_orderkey ORDER BY round(p, 12) DESC, l_linenumber ROWS UNBOUNDED PRECEDING) - p AS before FROM q) WHERE round(before, 9) <= 0.8""")

@@ -173,6 +173,33 @@ def response_check(spark, sf_dir):
     return rows.select("conv_id", "turn", clean.valid_pair(F.concat(F.coalesce("role", F.lit("")), F.lit(" says: "), F.coalesce("text", F.lit(""))), F.col("text")).alias("valid"))
 
 
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'f' || turn END AS tool, CASE WHEN turn % 3 = 0 THEN 2 END AS n_args, turn % 3 = 1 AS broken FROM conversations""")
+def parsed_tools(spark, sf_dir):
+    """Tools of messages as JSON strings, some cut short, some missing."""
+    given = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('[{"name": "f'), F.col("turn").cast("string"), F.lit('", "args": [1, {"a": 2}]}]'))).when(F.col("turn") % 3 == 1, F.lit('[{"name": '))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", given.alias("given")).select("*", chat.parsed_tools(F.col("given")).alias("tools"))
+    args = F.size(F.try_variant_get("tools", "$[0].args", "array<variant>"))
+    return rows.select("conv_id", "turn", F.try_variant_get("tools", "$[0].name", "string").alias("tool"), F.when(F.col("tools").isNotNull(), args).alias("n_args"), (F.col("given").isNotNull() & F.col("tools").isNull()).alias("broken"))
+
+
+_BOTH = "SELECT a.conv_id, a.turn, a.text AS q, b.text AS x, a.conv_id % 2 = 0 AS old FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'"
+_SAID = "'<|im_start|>{0}' || chr(10) || {1} || '<|im_end|>' || chr(10)"
+
+
+@query(f"""SELECT conv_id, turn, md5({_SAID.format("user", "q")} || {_SAID.format("assistant", "x")}) AS chosen, md5({_SAID.format("user", "q")} || {_SAID.format("assistant", "CASE WHEN old THEN 'old' ELSE 'new' END")}) AS rejected FROM ({_BOTH})""")
+def dpo_shapes(spark, sf_dir):
+    """Preference pairs of either shape: a prefix with two answers, or two whole lists of messages."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
+    answers = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("x"))
+    pairs = asked.join(answers, ["conv_id", "turn"])
+    old, said = F.col("conv_id") % 2 == 0, lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    prefix = F.when(~old, F.array(said("user", F.col("q"))))
+    whole = lambda c: F.when(old, F.array(said("user", F.col("q")), said("assistant", c)))
+    chosen, rejected = chat.sides_of(prefix, F.col("x"), F.lit("new"), whole(F.col("x")), whole(F.lit("old")))
+    return pairs.select("conv_id", "turn", F.md5(chat.render(chosen)).alias("chosen"), F.md5(chat.render(rejected)).alias("rejected"))
+
+
 _MARK = "CASE doc_id % 5 WHEN 0 THEN '12. ' WHEN 1 THEN '三、' WHEN 2 THEN '• ' WHEN 3 THEN '7）\"' ELSE '' END || split_part(text, chr(10), 1)"
 _BARE = rf"regexp_replace(regexp_replace(regexp_replace({_STRIP(_MARK)}, '^\p{{Nd}}+[.)）、]{T.SQL_WS}*', ''), '^[一二三四五六七八九十]+[、.)]{T.SQL_WS}*', ''), '^[•\-*]{T.SQL_WS}*', '')"
 

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
+
 SCALAR_KEYS = ["text", "chosen", "rejected", "prompt"]
 MESSAGE_KEYS = ["conversations", "messages"]
 _TURNS = "array<struct<content: string>>"
@@ -57,10 +59,16 @@ def safe_name(category: str) -> str:
     return re.sub(r"\)", "", re.sub(r"[(+]", "_", category))
 
 
+def prompt_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """(file, value): the lines of the prompt files that a pattern names, each a file or a folder of parts."""
+    name = F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"([^/]*_prompts\.txt)", 1)
+    return spark.read.text(pattern).select("value", name.alias("file"))
+
+
 def legacy_prompts(lines: DataFrame, categories: list[str], known: DataFrame) -> DataFrame:
     """(cat, prompt) of per-category text files (file, value) that are not known yet, each once."""
     names = F.create_map(*(F.lit(x) for c in categories for x in (f"{safe_name(c)}_prompts.txt", c)))
-    own = lines.select(F.try_element_at(names, F.substring_index("file", "/", -1)).alias("cat"), F.trim("value").alias("prompt"))
+    own = lines.select(F.try_element_at(names, F.substring_index("file", "/", -1)).alias("cat"), T.strip(F.col("value")).alias("prompt"))
     return own.where("cat IS NOT NULL AND prompt <> ''").distinct().join(known.select("cat", "prompt"), ["cat", "prompt"], "left_anti")
 
 
