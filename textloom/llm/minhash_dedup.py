@@ -373,3 +373,24 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 def op4_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's query over ``documents``: shingles of three words, similarity of 0.85 or more."""
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d
+), e AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), l AS (
+  SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), r AS (
+  SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id WHERE r.root < l.b
+)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, root AS component_id, doc_id = root AS kept
+FROM s JOIN (SELECT id, min(root) AS root FROM r GROUP BY 1) ON id = doc_id
+"""

@@ -20,5 +20,7 @@ QUERIES = {
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op2_license_scan": license_scan.ORACLE,
+    "op4_minhash_dedup": minhash_dedup.ORACLE,
+    "op8_suffix_dedup": suffix_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
 }

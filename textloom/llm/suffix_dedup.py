@@ -489,3 +489,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's query over ``documents``."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = f"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), q AS (
+  SELECT doc_id, c, substr(h, 2 * c + 1, 2 * (400 + {LENGTH - 1})) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1}, 400)) AS c FROM d WHERE length(h) >= {2 * LENGTH})
+), w AS (
+  SELECT doc_id, c + j AS p, md5_number(substr(part, CAST(2 * j + 1 AS INT), {2 * LENGTH})) AS x
+  FROM (SELECT doc_id, c, part, unnest(range(0, length(part) // 2 - {LENGTH - 1})) AS j FROM q)
+), f AS (
+  SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, p) > 1
+), i AS (
+  SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS island
+  FROM (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {LENGTH} THEN 1 ELSE 0 END AS new FROM f)
+), g AS (
+  SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS b FROM i GROUP BY doc_id, island
+), k AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM g
+), t AS (
+  SELECT doc_id, sum(b - a) AS n, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
