@@ -2,6 +2,9 @@
 
 Each stage takes all that the one before kept; its output is written as Parquet to the shared folder and read again, so a lost executor
 costs the running stage only.
+
+Every stage takes any columns beside ``doc_id``, ``text`` and ``lang`` and passes them on, whatever their names; an empty table stays empty. A null text counts as empty. What a stage does with
+nulls, repeated rows and ties is said at it.
 """
 
 from __future__ import annotations
@@ -12,27 +15,30 @@ from textloom.llm import decontaminate, exact_dedup, language_id, minhash_dedup,
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language stay; those without a letter, or without text, go."""
+    """Documents in a learned language stay; those without a letter, or without text, go. Repeated rows and rows without id or language are judged by their text alone."""
     return language_id.keep_identified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, the one with the smallest id stays."""
+    """Of texts that are equal but for white space, the one with the smallest id stays; of rows that share that id too, one; of a group without any id, one."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents whose five-word shingles are similar by 0.8 or more, the one with the smallest id stays."""
+    """Of each component of documents whose five-word shingles are similar by 0.8 or more, the one with the smallest id stays; of rows that share id and words, one.
+
+    Documents without id or without words are linked with nothing and stay.
+    """
     return minhash_dedup.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of ``benchmark`` go."""
+    """Documents that hold a passage of ``benchmark`` go, each by its own text; rows without id or text are documents like others, empty passages are in none."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the remaining documents in sequences of 2048 ids."""
+    """The pieces of the remaining documents in sequences of 2048 ids; a document without text is its end id, repeated rows are packed once each."""
     return packing.pack(docs)
 
 
