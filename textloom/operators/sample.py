@@ -10,28 +10,34 @@ from pyspark.sql import functions as F
 from textloom.sources import tables
 
 
-def ranges(df: DataFrame, *keys: str) -> DataFrame:
+def ranges(df: DataFrame, *keys: str, written: bool = False) -> DataFrame:
     """The rows dealt to ranges of the keys, with their range as ``__range``, as a written table.
 
-    They are written before too, since the choice of the ranges reads them once more; so ``df`` should hold no more than is needed.
+    They are written before too, unless ``df`` already reads a written table, since the choice of the ranges reads them once more; so ``df`` should hold no more than is needed.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tables.keep(tables.keep(df, "rows").repartitionByRange(n, *keys).withColumn("__range", F.spark_partition_id()), "ranges")
+    rows = df if written else tables.keep(df, "rows")
+    return tables.keep(rows.repartitionByRange(n, *keys).withColumn("__range", F.spark_partition_id()), "ranges")
 
 
-def prefix_sum(df: DataFrame, order: str, value: str, out: str, tie: list[str] | None = None) -> DataFrame:
-    """Adds the inclusive running sum of ``value`` by ``order`` and then ``tie``.
+def prefix_sums(df: DataFrame, order: str, sums: dict[str, str], tie: list[str] | None = None, written: bool = False) -> DataFrame:
+    """Adds the inclusive running sums by ``order`` and then ``tie``: of each value (its column) under its new name.
 
     Sums run within ranges of the order, and the ranges' totals, one row each, give every range its offset. Null values count as 0, null orders come first.
     """
     keys = [order, *(tie or [])]
-    ranged = ranges(df, *keys)
-    totals = ranged.groupBy("__range").agg(F.sum(value).alias("__total"))  # one row a range
+    ranged = ranges(df, *keys, written=written)
+    totals = ranged.groupBy("__range").agg(*(F.sum(value).alias(f"__total_{out}") for out, value in sums.items()))  # one row a range
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__range", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
+    offsets = totals.select("__range", *(F.coalesce(F.sum(f"__total_{out}").over(before), F.lit(0)).alias(f"__before_{out}") for out in sums))
     own = Window.partitionBy("__range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranged.withColumn("__own", F.coalesce(F.sum(value).over(own), F.lit(0)))
-    return summed.join(F.broadcast(offsets), "__range").withColumn(out, F.col("__own") + F.col("__before")).drop("__range", "__own", "__before")
+    summed = ranged.select("*", *(F.coalesce(F.sum(value).over(own), F.lit(0)).alias(f"__own_{out}") for out, value in sums.items())).join(F.broadcast(offsets), "__range")
+    return summed.select(*df.columns, *((F.col(f"__own_{out}") + F.col(f"__before_{out}")).alias(out) for out in sums))
+
+
+def prefix_sum(df: DataFrame, order: str, value: str, out: str, tie: list[str] | None = None, written: bool = False) -> DataFrame:
+    """Adds one running sum, as ``prefix_sums`` does."""
+    return prefix_sums(df, order, {out: value}, tie, written)
 
 
 def number_within(df: DataFrame, key: str, order: Column, out: str) -> DataFrame:
@@ -84,8 +90,8 @@ def interleave(first: DataFrame, second: DataFrame, draws: DataFrame) -> DataFra
     A draw takes the next row of its side, or of the other if its own has run out. So rows follow the draws' ranks on each side until a draw meets an
     empty side; from there the other side's rest follows in order. Streams have (rank, id) with ranks from 1.
     """
-    ranked = number_rows(draws.withColumn("f", F.col("take_first").cast("long")).withColumn("s", (~F.col("take_first")).cast("long")), "step", "n")
-    ranked = prefix_sum(ranked, "step", "f", "nf").withColumn("ns", F.col("n") - F.col("nf"))
+    ranked = draws.select("step", "take_first", F.col("take_first").cast("long").alias("f"), F.lit(1).cast("long").alias("one"))
+    ranked = prefix_sums(ranked, "step", {"n": "one", "nf": "f"}).withColumn("ns", F.col("n") - F.col("nf"))
     sizes = first.agg(F.count(F.lit(1)).alias("cf")).crossJoin(second.agg(F.count(F.lit(1)).alias("cs")))  # one row each
     ranked = ranked.crossJoin(F.broadcast(sizes))
     stop = ranked.where((F.col("nf") > F.col("cf")) | (F.col("ns") > F.col("cs"))).agg(F.min("step").alias("stop"), F.min(F.struct("step", "nf", "ns")).alias("at"))

@@ -67,7 +67,7 @@ def pack(df: DataFrame, order: str, ids: str, length: int) -> DataFrame:
     Ids are made and written once; places are summed over sizes alone and meet the ids by row. Null ids count as none.
     """
     rows = tables.keep(df.select(F.monotonically_increasing_id().alias("row"), F.col(order).alias("o"), F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n"), F.col(ids).alias("ids")).where("n > 0"), "pack-ids")
-    sized = sample.prefix_sum(rows.select("row", "o", "n"), "o", "n", "end", ["row"])
+    sized = sample.prefix_sum(rows.select("row", "o", "n"), "o", "n", "end", ["row"], written=True)
     total = sized.agg(F.floor(F.coalesce(F.max("end"), F.lit(0)) / length).alias("chunks"))
     begin = F.col("end") - F.col("n")
     # a document's slice of every chunk it meets, so that no row is made for a token

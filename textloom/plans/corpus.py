@@ -309,10 +309,10 @@ SELECT e.id, 'second', CASE WHEN s.n IS NOT NULL AND s.ns <= s.cs AND e.rank > s
 FROM e CROSS JOIN c LEFT JOIN s ON true LEFT JOIN d ON NOT d.f AND d.ns = e.rank""")
 def interleave(spark, sf_dir):
     """English and other documents merged by draws at seven to three."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
-    side = lambda where: sample.number_rows(docs.where(where), "id", "rank")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("lang") == "en").alias("english"))
+    ranked = keep(sample.number_within(docs.where("english IS NOT NULL"), "english", F.col("id"), "rank"), "ranks")
     draws = docs.select(F.col("id").alias("step"), (F.col("id") % 10 < 7).alias("take_first"))
-    return sample.interleave(side("lang = 'en'").select("rank", "id"), side("lang <> 'en'").select("rank", "id"), draws)
+    return sample.interleave(ranked.where("english").select("rank", "id"), ranked.where("NOT english").select("rank", "id"), draws)
 
 
 _LINES = """SELECT doc_id, CASE doc_id % 13 WHEN 1 THEN '' WHEN 2 THEN '{"id": ' || doc_id WHEN 3 THEN '  ' ELSE
