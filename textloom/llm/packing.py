@@ -285,15 +285,17 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, whole_p
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     own = work.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), work.text_of()))
-    cut, _ = work.keep(own.mapInArrow(_cut(path or vocabulary_path(), window, whole_path), _CUT_DDL), "pack-cut")
+    cut, _ = work.keep(own.mapInArrow(_cut(path or vocabulary_path(), window, whole_path), _CUT_DDL).withColumn("row", F.monotonically_increasing_id()), "pack-cut")
     n, mean, df = corpus_stats(cut)
     idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
     rest = cut.where("kind = 'rest'")
     items = rest.count()
     shards = max(1, round(items / SHARD_ITEMS))
-    rest = rest.select("doc_id", "start", "doc_tokens", "ids", (F.col("key") + F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 15))).alias("key"), F.lit(1).cast("long").alias("one"))
-    place = prefix_sum(rest, "key", "one", "place", ["doc_id", "start", "ids"])
-    rest = place.select("doc_id", "start", "doc_tokens", "ids", F.floor((F.col("place") - 1) * shards / items).cast("long").alias("shard"))
+    order = rest.select("row", "doc_id", "start", F.xxhash64("doc_id", "ids").alias("h"), "key", F.lit(1).cast("long").alias("one"))
+    order = order.withColumn("key", F.col("key") + F.pmod("h", F.lit(1 << 15)))
+    place = prefix_sum(order, "key", "one", "place", ["doc_id", "start", "h", "row"])
+    shard = place.select("row", F.floor((F.col("place") - 1) * shards / items).cast("long").alias("shard"))
+    rest = rest.select("row", "doc_id", "start", "doc_tokens", "ids").join(shard.hint("merge"), "row").drop("row")
     packed = rest.groupBy("shard").applyInArrow(_pack(idf, mean, window), _OUT_DDL)
     full = cut.where("kind = 'full'").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return full.unionByName(packed)
