@@ -84,3 +84,22 @@ def test_streams(spark, tmp_path):
     cleanse.drain(packed, f"{tmp_path}/chunks", f"{tmp_path}/state2")
     chunks = spark.read.parquet(f"{tmp_path}/chunks").collect()
     assert sorted((r.shard, r.chunk) for r in chunks) == [(s, c) for s in (0, 1) for c in range(3)] and all(len(r.input_ids) == 16 for r in chunks)
+
+
+def test_callbacks_of_a_stream(spark, tmp_path):
+    import time
+
+    from textloom.operators import quality
+    from textloom.streaming import callbacks, cleanse
+
+    spark.createDataFrame([(i, "passed" if i % 3 else "too_short") for i in range(30)], "doc_id long, reason string").repartition(2).write.parquet(f"{tmp_path}/in")
+    logs, ends = [], []
+    off = callbacks.listen(spark, callbacks.Callbacks(lambda batch, figures: logs.append(figures["quality"]), ends.append))
+    try:
+        cleanse.drain(quality.observed(cleanse.read(spark, f"{tmp_path}/in", "doc_id long, reason string")), f"{tmp_path}/out", f"{tmp_path}/state")
+        stop = time.time() + 20
+        while not ends and time.time() < stop:
+            time.sleep(0.1)
+    finally:
+        off()
+    assert ends == [None] and sum(x["rows"] for x in logs) == 30 and sum(x["passed"] for x in logs) == 20
