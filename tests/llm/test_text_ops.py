@@ -365,3 +365,42 @@ def test_codewords_are_apart(k):
     code = language_id.codewords(k)
     apart = min(((code[a] != code[b]).sum() for a in range(k) for b in range(a)), default=9)
     assert code.shape[0] == k and apart >= (1 if k == 2 else 3 if k > 5 else 2 ** (k - 2)) and set(np.unique(code)) <= {-1, 1}
+
+
+def test_language_id_against_brute_force(spark):
+    """Margins, losses and scores in plain Python over the model's own tables."""
+    rng = random.Random(16)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40)), lang) for i, (lang, words) in enumerate(list(LANGS.items()) * 20)]
+    model = language_id.fit([(lang, t) for _, t, lang in rows])
+    tests = [t for _, t, _ in rows[:12]] + ["a", "Ünder the keit 12", "the of " * 50 + "ción los " * 50]
+    got = [(r.lang_pred, r.score) for r in language_id.identify(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    for text, (lang, score) in zip(tests, got, strict=True):
+        data = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + "   "
+        raw = data.encode()
+        margins = []
+        for b in range(model.code.shape[1]):
+            total = 0.0
+            for o, n in enumerate((2, 3, 4)):
+                own = []
+                for i in range(len(raw) - 3):
+                    g = int.from_bytes(raw[i : i + n], "big")
+                    own.append(g if n == 2 else (g * (0x9E3779B1 if n == 3 else 0x85EBCA6B) & 0xFFFFFFFF) >> 16)
+                total += sum(float(model.weights[o, k, b]) for k in own) / len(own)
+            margins.append(total)
+        loss = [sum(model.share[k, b] * math.exp(-float(model.code[k, b]) * min(4, max(-4, margins[b] / model.scale[b]))) for b in range(len(margins))) for k in range(len(model.langs))]
+        best = min(range(len(loss)), key=loss.__getitem__)
+        assert lang == model.langs[best] and abs(score - (1 / loss[best]) / sum(1 / x for x in loss)) < 1e-6
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Repeated rows and ids, dirty and frequent languages, very long texts."""
+    monkeypatch.setattr(language_id, "MOST_LANGS", 2)
+    monkeypatch.setattr(language_id, "LONGEST", 300)
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 1000)
+    fitted = []
+    fit = language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda rows: fitted.append(rows) or fit(rows))
+    rows = [(7, "the of an one text", "aa")] * 50 + [(i, f"sch ein und ber {i}", "bb") for i in range(100)] + [(i, "x" * 200, f"dirty {i}") for i in range(30)] + [(200, "the of " * 1000, "aa"), (7, "another text of seven", "aa")]
+    language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    by = {x: [t for lang, t in fitted[0] if lang == x] for x in ("aa", "bb")}
+    assert len(fitted[0]) == len(by["aa"]) + len(by["bb"]) and sorted(by["aa"]) in (["another text of seven", "the of an one text"], []) and 0 < len(by["bb"]) <= 100 and sum(map(len, by["bb"])) < 1300
