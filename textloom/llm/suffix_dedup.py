@@ -41,8 +41,8 @@ FLUSH_BYTES = 3 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 #: Bytes of distinct segments that are sorted at once; segments of one anchor stay together.
 SORT_BYTES = 2 << 20
-#: Compression of packed rows: text is a tenth smaller than at the fastest level, and disk is the scarcer.
-LEVEL = 5
+#: Compression of packed rows, the library's own default.
+LEVEL = 3
 #: Runs of an anchor from which they are dealt as single strings, and the bytes of the list of such anchors that goes to the tasks.
 HOT_RUNS = 10_000
 MOST_HOT = 1_000_000
