@@ -404,3 +404,14 @@ def test_language_sample_is_bounded(spark, monkeypatch):
     language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     by = {x: [t for lang, t in fitted[0] if lang == x] for x in ("aa", "bb")}
     assert len(fitted[0]) == len(by["aa"]) + len(by["bb"]) and sorted(by["aa"]) in (["another text of seven", "the of an one text"], []) and 0 < len(by["bb"]) <= 100 and sum(map(len, by["bb"])) < 1300
+
+
+def test_unlearned_languages_are_rejected(spark):
+    rng = random.Random(2)
+    text = lambda words, n: " ".join(rng.choice(words) + rng.choice(words) for _ in range(n))
+    rows = [(i, text(words, rng.choice([5, 20, 60])), lang) for i, (lang, words) in enumerate(list(LANGS.items()) * 50)]
+    both = [(1000 + i, text(LANGS["aa"], 20) + " " + text(LANGS["cc"], 20), None) for i in range(20)]
+    other = [(2000, "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心", None), (2001, "Все люди рождаются свободными и равными в своем достоинстве и правах", "zz"), (2002, "12 ?", None), (2003, None, "aa")]
+    kept = language_id.keep_identified(spark.createDataFrame(rows + both + other, "doc_id long, text string, lang string"))
+    found = {r.doc_id for r in kept.collect()}
+    assert {i for i, _, _ in rows + both} <= found and not found & {2000, 2002, 2003}

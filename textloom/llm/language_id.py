@@ -38,6 +38,8 @@ ORDERS = (2, 3, 4)
 SMOOTH = 0.5
 #: Decoding losses closer than this share of the smaller one are ambiguous.
 AMBIGUOUS = 0.1
+#: The filter rejects a text whose least loss is over this and over that of every document learned from: with no evidence at all each loss is 1.
+MOST_LOSS = 0.9
 UND = "und"
 
 _LETTERS = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
@@ -77,16 +79,27 @@ class Model:
     weights: np.ndarray  # order x bucket x bit
     scale: np.ndarray  # bit
     share: np.ndarray  # language x bit
+    bound: float = MOST_LOSS
 
     def margins(self, text: str) -> np.ndarray:
         found = grams(text)
         return sum(w[g].mean(0, dtype=np.float64) for w, g in zip(self.weights, found, strict=True))
 
+    def losses(self, margins: np.ndarray) -> np.ndarray:
+        """Each language's loss."""
+        return (self.share * np.exp(-self.code * np.clip(margins / self.scale, -4, 4))).sum(1)
+
+    def accepts(self, text: str | None) -> bool:
+        """Whether a text has a letter and, where several languages are known, looks like one of them."""
+        if not text or not any(map(str.isalpha, text)):
+            return False
+        return len(self.langs) < 2 or float(self.losses(self.margins(text)).min()) <= self.bound
+
     def decode(self, margins: np.ndarray) -> tuple[str, float, bool]:
         """Language, score from 0 to 1, ambiguity."""
         if len(self.langs) == 1:
             return self.langs[0], 1.0, False
-        loss = (self.share * np.exp(-self.code * np.clip(margins / self.scale, -4, 4))).sum(1)
+        loss = self.losses(margins)
         order = np.argsort(loss, kind="stable")
         p = 1 / loss
         return self.langs[order[0]], float(p[order[0]] / p.sum()), bool(loss[order[1]] - loss[order[0]] < AMBIGUOUS * loss[order[0]])
@@ -120,6 +133,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
         right = (np.sign(margins) == own).astype(float)
         accuracy = np.array([right[[lang == x for x, _ in rows]].mean(0) for lang in langs])
         model.share = (accuracy + 1e-3) / (accuracy + 1e-3).sum(1, keepdims=True)
+        model.bound = max([MOST_LOSS, *(float(model.losses(m).min()) for m in margins)])
     return model
 
 
@@ -163,18 +177,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents in a learned language, with all their columns; those without a letter go, whatever could be learned.
+    """The documents in a learned language, with all their columns.
 
-    The rows themselves pass through, so repeated or missing ids do no harm. A document is not rejected for a low score: texts that mix languages score low and are clean.
+    Those without a letter go, and those that look like none of the learned languages: whose least loss says that the classifiers found next to nothing in them. Texts that mix learned languages
+    stay. Where fewer than two languages could be learned, all with a letter stay. The rows themselves pass through, so repeated or missing ids do no harm.
     """
     spark = docs.sparkSession
-    model = train(docs)
-    shared = spark.sparkContext.broadcast(model if model.langs else fit([("any", "a")]))
+    shared = spark.sparkContext.broadcast(train(docs))  # the languages bound its size
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in work.pieces(parts):
-            own = [shared.value.predict(t)[0] != UND for t in part.column("text").to_pylist()]
-            yield part.filter(pa.array(own, pa.bool_()))
+            yield part.filter(pa.array([shared.value.accepts(t) for t in part.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
