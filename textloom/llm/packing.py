@@ -42,6 +42,8 @@ N_IDS = 50_257
 K1, B = 1.2, 0.75
 #: Items of a shard, on the mean.
 SHARD_ITEMS = 2_000
+#: Shards that a task packs, one after the other, on the mean.
+TASK_SHARDS = 16
 #: Ids of a seed with the highest weights that query the index first; all its ids do where their neighbours do not fill the window.
 QUERY_IDS = 12
 #: Neighbours, next by score, that are tried whole before the window's rest goes to the best one's cut.
@@ -296,7 +298,8 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, whole_p
     place = prefix_sum(order, "key", "one", "place", ["doc_id", "start", "h", "row"])
     shard = place.select("row", F.floor((F.col("place") - 1) * shards / items).cast("long").alias("shard"))
     rest = rest.select("row", "doc_id", "start", "doc_tokens", "ids").join(shard.hint("merge"), "row").drop("row")
-    packed = rest.groupBy("shard").applyInArrow(_pack(idf, mean, window), _OUT_DDL)
+    tasks = max(work.buckets(docs), shards // TASK_SHARDS)
+    packed = rest.repartition(tasks, "shard").groupBy("shard").applyInArrow(_pack(idf, mean, window), _OUT_DDL)
     full = cut.where("kind = 'full'").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return full.unionByName(packed)
 
