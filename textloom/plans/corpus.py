@@ -395,6 +395,21 @@ def collect_texts(spark, sf_dir):
     return collectors.texts_of_lines(docs.select("doc_id", value.alias("value")), "doc_id").select("doc_id", "item", "text")
 
 
+@query("""SELECT file, CAST(line_no AS BIGINT) AS line_no, CAST(item AS INT) AS item, text FROM (
+SELECT 'even' AS file, row_number() OVER (ORDER BY doc_id) - 1 AS line_no, 0 AS item, lang AS text FROM documents WHERE doc_id % 2 = 0 UNION ALL
+SELECT 'odd', row_number() OVER (ORDER BY doc_id) - 1, unnest([0, 1]), unnest([source, 'said ' || n_chars]) FROM documents WHERE doc_id % 2 = 1)""")
+def collect_files(spark, sf_dir):
+    """The texts of several files of lines, one of which is not there."""
+    docs = table(spark, sf_dir, "documents")
+    said = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("said "), F.col("n_chars").cast("string")).alias("content")))
+    values = {"even": F.to_json(F.struct(F.col("lang").alias("text"), F.col("n_chars").alias("prompt"))), "odd": F.to_json(F.struct(F.col("source").alias("chosen"), said.alias("conversations")))}
+    at = work_path(spark, "texts")
+    for k, (name, value) in enumerate(values.items()):
+        sinks.raw_lines(docs.where(F.col("doc_id") % 2 == k).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select(value.alias("value")), f"{at}/{name}")
+    rows = collectors.texts_of_files(spark, [f"{at}/{name}" for name in (*values, "missing")])
+    return rows.select(F.element_at(F.split("source", "/"), -1).alias("file"), "line_no", "item", "text")
+
+
 @query("""SELECT 'k' || item_id AS key, CAST(i AS INT) AS item, t AS text FROM (
 SELECT item_id, 0 AS i, text AS t FROM benchmark UNION ALL SELECT item_id, 1, 'c' || item_id FROM benchmark UNION ALL
 SELECT item_id, 2, 'r' FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 3 ELSE 2 END, '' FROM benchmark)""")
@@ -534,6 +549,18 @@ def guide_lookup(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", quotas.guide(F.col("lang"), {"en": "plain", "de": "formal"}, "neutral").alias("guide"))
 
 
+@query("SELECT doc_id % 4 AS shard, CAST(sum(length(text)) // 512 AS BIGINT) AS chunks, CAST(sum(length(text)) // 512 * 512 AS BIGINT) AS ids FROM documents GROUP BY 1")
+def stream_pack(spark, sf_dir):
+    """Documents' ids as a stream, packed by shard with the open chunk as state; a second run from the same checkpoint adds nothing."""
+    docs = table(spark, sf_dir, "documents")
+    at = work_path(spark, "stream-pack")
+    for _ in range(2):
+        stream = mirror.dataset(spark, sf_dir, "documents", docs.schema, streaming=True)
+        ids = stream.select((F.col("doc_id") % 4).alias("shard"), tokens.code_points(F.col("text")).alias("ids"))
+        cleanse.drain(cleanse.packed(ids, "shard", 512), f"{at}/out", f"{at}/state")
+    return spark.read.schema("shard long, chunk long, input_ids array<int>").parquet(f"{at}/out").groupBy("shard").agg(F.count_distinct("chunk").alias("chunks"), F.sum(F.size("input_ids")).alias("ids"))
+
+
 @query("SELECT count(DISTINCT text) AS texts, count(*) AS fingerprints FROM (SELECT DISTINCT fp, min(text) AS text FROM (SELECT text, " + dedup.FINGERPRINT_SQL.format(t="text") + " AS fp FROM documents) GROUP BY fp)")
 def stream_dedup(spark, sf_dir):
     """Documents as a stream, deduplicated by fingerprint; whichever comes first stays, so only numbers are the same in every run."""
