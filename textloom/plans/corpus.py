@@ -159,7 +159,7 @@ _CLEANSED = f"{_SCRUBBED}, done AS ({_status_sql(_LAST)})"
 SELECT CAST(doc_id AS VARCHAR) AS id, text, lang, source AS industry_type, CAST(length(text) AS BIGINT) AS text_length, num_words FROM done WHERE status = 'unique'""")
 def cleanse_corpus(spark, sf_dir):
     """Quality filter, cleaning, redaction, deduplication in id order, cleaned records."""
-    done = dedup.judged(cleansed(spark, sf_dir).where("own.text IS NOT NULL")).where("status = 'unique'")
+    done = dedup.judged(cleansed(spark, sf_dir).where("fp IS NOT NULL")).where("status = 'unique'")
     return done.select(F.col("doc_id").cast("string").alias("id"), "text", "lang", F.col("source").alias("industry_type"), F.length("text").cast("long").alias("text_length"), "num_words")
 
 
@@ -180,7 +180,7 @@ def stats_record(rows):
     both = F.array(F.struct(F.col("reason").alias("k"), "n"), F.struct(F.lit("too_short_after_clean").alias("k"), F.col("short").alias("n")))
     found = {
         "quality_filter_stats": reasons.select(F.explode(both).alias("e")).select("e.*").where("n > 0"),
-        "dedup_stats": dedup.judged(rows.where("own.text IS NOT NULL")).groupBy(F.col("status").alias("k")).agg(F.count(F.lit(1)).alias("n")),
+        "dedup_stats": dedup.judged(rows.where("fp IS NOT NULL")).groupBy(F.col("status").alias("k")).agg(F.count(F.lit(1)).alias("n")),
         "redaction_summary": scrub.redaction_totals(own).select(F.col("label").alias("k"), F.col("total").alias("n")),
     }
     every = None
