@@ -12,12 +12,12 @@ HEAD, SHINGLE = 200, 3
 
 
 def fingerprint(text: Column) -> Column:
-    """md5 of the sorted set of three-character shingles of the head; of the head itself if it is shorter."""
+    """md5 of the sorted set of three-character shingles of the head; of the head itself if it is shorter; null for null."""
     head = F.substring(text, 1, HEAD)
     places = F.sequence(F.lit(1), F.greatest(F.length(head) - SHINGLE + 1, F.lit(1)))
     grams = F.transform(places, lambda i: F.substring(head, i, F.lit(SHINGLE)))
     joined = F.array_join(F.array_sort(F.array_distinct(grams)), "|")
-    return F.md5(F.when(F.length(head) < SHINGLE, head).otherwise(joined))
+    return F.when(text.isNotNull(), F.md5(F.when(F.length(head) < SHINGLE, head).otherwise(joined)))
 
 
 def hashed(df: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
