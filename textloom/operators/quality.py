@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -81,6 +81,12 @@ def observed(df: DataFrame, name: str = "quality") -> DataFrame:
     return df.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("reason") == "passed").alias("passed"))
 
 
+def counted(df: DataFrame, **figures: Column) -> tuple[DataFrame, Observation]:
+    """The rows, and an observation that holds the figures (aggregates by name) once an action has run over them."""
+    found = Observation()
+    return df.observe(found, *(c.alias(name) for name, c in figures.items())), found
+
+
 METRICS_SQL = f"""
 SELECT *, list_filter(string_split_regex(t, '[ \\t\\n\\r]+'), lambda w: w <> '') AS ws, nullif(length(t), 0) AS n FROM (SELECT *, coalesce(text, '') AS t FROM documents)
 """, f"""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import clean, evals, training
+from textloom.operators import clean, evals, quality, tokens, training
 from textloom.plans.base import query
-from textloom.sources import sinks
-from textloom.sources.tables import table, work_path
+from textloom.sources import collectors, config, sinks
+from textloom.sources.tables import literal, table, work_path
 
 _ANSWERS = "SELECT doc_id, quality, toxic, 'answer: ' || CASE WHEN quality = 1 THEN 'B' ELSE 'none' END AS a, CASE WHEN toxic = 1 THEN 'C or B' ELSE 'B.' END AS b FROM labels"
 
@@ -60,6 +60,61 @@ def thinking_rates(spark, sf_dir):
     return evals.thinking_rates(rows, "a", "track")
 
 
+QUESTIONS = [(1, "Which is a prime?", [("A", "4"), ("B", "7"), ("C", "9")], "B"), (2, "Which is even?", [("A", "3"), ("B", "5"), ("C", "8")], "C"), (3, "Which is odd?", [("A", "1"), ("B", "2")], "A")]
+
+
+@query("""WITH q(id, question, options, answer) AS (VALUES (1, 'Which is a prime?', ['A. 4', 'B. 7', 'C. 9'], 'B'), (2, 'Which is even?', ['A. 3', 'B. 5', 'C. 8'], 'C'), (3, 'Which is odd?', ['A. 1', 'B. 2'], 'A'))
+SELECT id, question || chr(10) || array_to_string(options, chr(10)) AS prompt, count(DISTINCT doc_id) FILTER (chr(CAST(65 + doc_id % 4 AS INT)) = answer) AS correct, count(DISTINCT doc_id) AS total
+FROM q JOIN labels ON doc_id % 3 + 1 = id GROUP BY 1, 2""")
+def literal_questions(spark, sf_dir):
+    """A literal table of questions, their prompts, and how many answers (one for each label, a letter by its id) are right."""
+    entries = "array<struct<k: string, v: string>>"
+    asked = literal(spark, f"id int, question string, options {entries}, answer string", QUESTIONS)
+    asked = asked.select("id", "answer", evals.choice_prompt(F.col("question"), F.map_from_entries("options")).alias("prompt"))
+    given = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") % 3 + 1).alias("id"), F.chr(65 + F.col("doc_id") % 4).alias("given")).distinct()
+    rows = given.join(F.broadcast(asked), "id")  # the literal table
+    return evals.accuracy(rows, evals.choice_of(F.col("given")) == F.col("answer"), "id", "prompt").select(F.col("id").cast("int").alias("id"), "prompt", "correct", "total")
+
+
+CONFIG = {"model": {"hidden": {"size": 64}, "layers": 4}, "training": {"learning": {"rate": 0.1}, "steps": 10, "save": {"every": {"steps": 5}}}, "seed": 7, "generation": {"prompts": 3}}
+ARGUMENTS = {"size": 1, "layers": 1, "learning_rate": 0.5, "steps": 1, "training_save_every_steps": 1, "seed": 0, "generate_prompts": 9}
+
+
+@query("SELECT * FROM (VALUES ('size', '64'), ('layers', '4'), ('learning_rate', '0.1'), ('steps', '10'), ('training_save_every_steps', '5'), ('seed', '7'), ('generate_prompts', '9')) AS t(argument, value)")
+def config_arguments(spark, sf_dir):
+    """A nested configuration set onto flat arguments: by the whole name, its last part, or ever shorter ends; what fits none is left out."""
+    return literal(spark, "argument string, value string", [(k, str(v)) for k, v in config.apply(ARGUMENTS, CONFIG).items()])
+
+
+@query("SELECT * FROM (VALUES (1, 1, 2, 3), (2, 3, 3, 3), (3, 5, 3, 3), (4, 0, 0, 0), (5, 4, 6, 0)) AS t(id, bos, eos, pad)")
+def special_ids(spark, sf_dir):
+    """Begin, end and pad ids where a tokenizer lacks some of them, or has 0."""
+    given = [(1, 2, 3), (None, None, 3), (5, 0, 3), (None, 0, None), (4, 6, None)]
+    return literal(spark, "id int, bos int, eos int, pad int", [(i, *tokens.fallback_ids(*x)) for i, x in enumerate(given, 1)])
+
+
+@query("SELECT conv_id, turn, 'answer to ' || left(coalesce(text, ''), 20) AS answer FROM conversations WHERE role = 'user'")
+def generated_answers(spark, sf_dir):
+    """Requests to a text source that is plugged in, here one that needs no network."""
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+
+    def complete(parts):
+        for part in parts:
+            yield part[["conv_id", "turn"]].assign(answer="answer to " + part["text"].fillna("").str.slice(0, 20))
+
+    return collectors.generated(asked, complete, "conv_id long, turn long, answer string")
+
+
+@query("SELECT count(*) AS seen, count(*) FILTER (length(text) >= 50) AS kept, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
+def progress_counts(spark, sf_dir):
+    """Counters that are reported as the rows are written."""
+    size = F.length("text")
+    rows, found = quality.counted(table(spark, sf_dir, "documents").select("doc_id", "text"), seen=F.count(F.lit(1)), kept=F.count_if(size >= 50), chars=F.sum(size))
+    rows.write.format("noop").mode("overwrite").save()
+    figures = found.get
+    return literal(spark, "seen long, kept long, chars long", [(figures["seen"], figures["kept"], figures["chars"])])
+
+
 NAMES = ["Nova"]
 _PERSONA = " UNION ALL ".join(
     f"SELECT '{t}' AS track, '{k}' AS criterion, round(count(*) FILTER ({' OR '.join(f'contains({t}, {chr(39)}{w}{chr(39)})' for w in words)}) / count(*), 3) AS score FROM s"

@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literal(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A table that the program itself holds: questions, personas, categories, criteria."""
+    return spark.createDataFrame(rows, schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where the scan has fewer partitions than cores; a larger scan stays as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -49,7 +54,7 @@ def write(df: DataFrame, name: str, by: str | None = None) -> str:
     """Writes ``df`` to the work folder, with a subfolder for each value of ``by``; returns the path. The shuffle files of the write go at its end."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    before = spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         out = df.write.option("compression", "zstd")
