@@ -47,6 +47,15 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_license_scan_of_long_texts(spark):
+    """Many paragraphs, blank lines, blanks and licences in one text."""
+    notice = "\n\n".join(t for _, t in license_scan.TEMPLATES) + "\n\n"
+    texts = ["x\ny\n\n" * 200_000, "\n" * 1_000_000, " " * 1_000_000, "a b " * 250_000, notice * 50]
+    began = time.time()
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {4} and len(got) == 50 * len({t for _, t in license_scan.TEMPLATES}) and time.time() - began < 60
+
+
 def test_license_scan_runs_no_python(spark):
     plan = license_scan.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
