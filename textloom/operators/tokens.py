@@ -17,6 +17,10 @@ IGNORE = -100
 SPECIAL_TOKENS = ["<pad>", "<|im_start|>", "<|im_end|>", "<unk>", "<s>", "</s>", "<thinking>", "</thinking>", "<summary>"]
 
 
+#: Ids of a document that one row holds while it is packed.
+SEGMENT = 16_384
+
+
 def code_points(text: Column) -> Column:
     """A tokenizer stand-in that SQL can follow: the characters' code points, above the special ids."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
@@ -66,7 +70,10 @@ def pack(df: DataFrame, order: str, ids: str, length: int) -> DataFrame:
 
     Ids are made and written once; places are summed over sizes alone and meet the ids by row. Null ids count as none.
     """
-    rows = tables.keep(df.select(F.monotonically_increasing_id().alias("row"), F.col(order).alias("o"), F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n"), F.col(ids).alias("ids")).where("n > 0"), "pack-ids")
+    # long documents go on in segments, so that no row of a chunk carries a whole one
+    cut = df.select(F.col(order).alias("o"), F.col(ids).alias("ids")).where(F.size("ids") > 0)
+    cut = cut.select("o", "ids", F.explode(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / SEGMENT).cast("int"))).alias("k")).select("o", F.slice("ids", F.col("k") * SEGMENT + 1, SEGMENT).alias("ids"))
+    rows = tables.keep(cut.select(F.monotonically_increasing_id().alias("row"), "o", F.size("ids").cast("long").alias("n"), "ids"), "pack-ids")
     sized = sample.prefix_sum(rows.select("row", "o", "n"), "o", "n", "end", ["row"], written=True)
     total = sized.agg(F.floor(F.coalesce(F.max("end"), F.lit(0)) / length).alias("chunks"))
     begin = F.col("end") - F.col("n")
