@@ -115,10 +115,11 @@ def scan(docs: DataFrame, templates=None, percent: int = PERCENT, id_col: str =
     held = lambda c: F.explode(F.array(c))  # noqa: E731  a projection that later filters do not repeat
     found = work.spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), work.text_of(text_col).alias("text")))
     found = found.select("doc_id", held(F.struct(F.split("text", "\n", -1).alias("lines"), F.split("text", BLANK_LINES, -1).alias("parts"))).alias("cut"), "text")  # split once, not for each paragraph
-    found = found.select("doc_id", F.col("cut.lines").alias("lines"), F.when(F.size("cut.parts") > 1, F.col("cut.parts")).otherwise(F.array().cast("array<string>")).alias("parts"), "text")
-    whole = F.when(F.size("lines") > 1, F.col("text")).otherwise(F.lit(""))
-    several = F.transform("parts", lambda p: F.when(F.contains(F.btrim(p, F.lit(" \t\r\n")), F.lit("\n")), p).otherwise(F.lit("")))
-    found = found.select("doc_id", F.size("lines").alias("n"), F.posexplode(F.concat(F.array(whole), F.col("lines"), several)).alias("at", "line"))
+    parts = F.when(F.size("cut.parts") > 1, F.col("cut.parts")).otherwise(F.array().cast("array<string>"))
+    whole = F.when(F.size("cut.lines") > 1, F.col("text")).otherwise(F.lit(""))
+    several = F.transform(parts, lambda p: F.when(F.contains(F.btrim(p, F.lit(" \t\r\n")), F.lit("\n")), p).otherwise(F.lit("")))
+    found = found.select("doc_id", F.size("cut.lines").alias("n"), F.concat(F.array(whole), F.col("cut.lines"), several).alias("units"))
+    found = found.select("doc_id", "n", F.posexplode("units").alias("at", "line"))  # beside the generator stands no more than its rows need
     found = found.where(F.length("line") >= 2 * min(lows))  # n words take 2n - 1 characters at least
     found = found.select("doc_id", F.when(F.col("at") <= F.col("n"), F.col("at")).otherwise(F.col("n") - F.col("at")).alias("unit"), "line")
     found = found.select("doc_id", "unit", held(_words(_lower(F.col("line")))).alias("words")).where(F.size("words") > min(lows))
