@@ -203,8 +203,8 @@ def families(classes: DataFrame, percent: int) -> DataFrame:
     spark = classes.sparkSession
     n = max(work.buckets(classes), classes.count() * shingles.banding(percent) // BAND_ROWS)
     met, met_path = work.keep(classes.select("id", "bands").mapInArrow(_members(FEW), _BAND_DDL).repartition(n, "value").mapInArrow(_met(MOST_GROUP), _MET_DDL), "band-groups")
-    groups = met.where("ids IS NOT NULL").select("ids").dropDuplicates(["ids"])
-    members = groups.select(F.xxhash64("ids").alias("g"), F.explode("ids").alias("id")).join(classes.select("id", "n_shingles", "sketch").hint("merge"), "id")
+    groups = met.where("ids IS NOT NULL").select("ids").dropDuplicates(["ids"]).select(F.xxhash64("ids").alias("g"), "ids")
+    members = groups.select("g", F.explode("ids").alias("id")).join(classes.select("id", "n_shingles", "sketch").hint("merge"), "id")
     dealt = members.select("g", "id", "n_shingles", "sketch").repartition(n, "g").sortWithinPartitions("g")
     found, found_path = work.keep(dealt.mapInArrow(_likely(percent), "a long, b long").unionByName(met.where("b IS NOT NULL").select("a", "b")).distinct(), "likely-links")
     roots = graph.components(found)
