@@ -92,3 +92,25 @@ def test_stats_of_an_empty_corpus(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     row = registry.QUERIES["cleanse_stats"](spark, str(tmp_path)).first()
     assert (row.total_input, row.total_output, row.quality_filter_stats) == (0, 0, "")
+
+
+def test_masks_of_long_conversations(spark):
+    """Two thousand turns, a million characters; and spans in plain Python over short ones."""
+    from textloom.operators import chat
+
+    turns = "".join(f"<|im_start|>user\n{'q' * 400}<|im_end|>\n<|im_start|>assistant\n{'a' * 500}<|im_end|>\n" for _ in range(1000))
+    began = time.time()
+    ids = tokens.code_points(F.col("t"))
+    mask = spark.createDataFrame([(turns,)], "t string").select(T.held(ids).alias("ids")).select(T.held(chat.assistant_mask(F.col("ids"))).alias("m"))
+    row = mask.select(F.size("m").alias("n"), F.aggregate("m", F.lit(0), lambda a, x: a + x).alias("k")).first()
+    assert (row.n, row.k) == (len(turns), 1000 * 511) and time.time() - began < 60
+    begin, end = "<|im_start|>assistant\n", "<|im_end|>\n"
+    texts = ["", "x", begin, begin + "a", begin + end + "b", "x" + begin + "a" + end + begin + "b", begin + begin + end + end, end + begin + "c" + end[:-1], begin[:-1]]
+    got = {r.t: r.m for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.held(tokens.code_points(F.col("t"))).alias("ids")).select("t", chat.assistant_mask(F.col("ids")).alias("m")).collect()}
+    for t in texts:
+        want, at = [0] * len(t), 0
+        while (a := t.find(begin, at)) >= 0:
+            b = t.find(end, a + len(begin))
+            at = len(t) if b < 0 else b + len(end)
+            want[a + len(begin) : at] = [1] * (at - a - len(begin))
+        assert got[t] == want, t

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -122,7 +123,7 @@ def span_mask(ids: Column, begin: list[int], end: list[int]) -> Column:
 
     def places(ids, marker):
         every = F.sequence(F.lit(0), F.greatest(F.size(ids) - 1, F.lit(0)))
-        return F.filter(every, lambda i: (F.get(ids, i) == marker[0]) & (F.slice(ids, i + 1, len(marker)) == F.array(*(F.lit(x) for x in marker))))
+        return F.filter(every, lambda i: reduce(lambda rest, j: (F.get(ids, i + j) == marker[j]) & rest, reversed(range(len(marker))), F.lit(True)))  # the first id is looked at first
 
     def spans(ids, ends):
         start = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<a: int, b: int>>)").alias("spans"))
@@ -135,7 +136,11 @@ def span_mask(ids: Column, begin: list[int], end: list[int]) -> Column:
 
         return F.aggregate(places(ids, begin), start, step, lambda acc: acc.spans)
 
-    mask = lambda ids, found: F.transform(ids, lambda x, i: F.exists(found, lambda s: (i >= s.a) & (i < s.b)).cast("int"))
+    def mask(ids, found):
+        before = lambda i: F.coalesce(F.get(found, i - 1).b, F.lit(0))  # noqa: E731  where the span before ends
+        parts = F.transform(found, lambda s, i: F.concat(F.array_repeat(F.lit(0), s.a - before(i)), F.array_repeat(F.lit(1), s.b - s.a)))
+        return F.flatten(F.concat(parts, F.array(F.array_repeat(F.lit(0), F.size(ids) - before(F.size(found))))))
+
     return bound(ids, lambda own: bound(places(own, end), lambda ends: bound(spans(own, ends), lambda found: mask(own, found))))
 
 
