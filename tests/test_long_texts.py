@@ -12,7 +12,7 @@ from textloom.plans import corpus, registry
 from textloom.sources import jsonl
 
 N = 1_000_000
-LONG = {"blanks": " " * N, "inner blanks": "a" + " " * N + "b", "letters": "a" * N, "roads": "一路" * (N // 2), "digits": "7" * N, "open": "<" * N, "half open": "<a " * (N // 3) + "> <b", "lines": "\n" * N, "at": "a@" * (N // 2), "dots": "1." * (N // 2), "amp": "&a" * (N // 2), "quotes": '"' * N, "name": "患者" * (N // 2)}
+LONG = {"blanks": " " * N, "inner blanks": "a" + " " * N + "b", "letters": "a" * N, "roads": "一路" * (N // 2), "digits": "7" * N, "open": "<" * N, "half open": "<a " * (N // 3) + "> <b", "lines": "\n" * N, "at": "a@" * (N // 2), "dots": "1." * (N // 2), "amp": "&a" * (N // 2), "quotes": '"' * N, "name": "患者" * (N // 2), "answers": "答 " * (N // 2), "wide blanks": "，" + "\u3000" * N + "一"}
 
 
 @pytest.mark.parametrize("name", LONG)
@@ -21,6 +21,8 @@ def test_a_million_characters(spark, name):
     began = time.time()
     assert scrub.scrub(df).select(*(F.col(c) for c in scrub.COUNTS), F.length("text").alias("n")).first().n is not None
     assert df.select(F.length(clean.clean(F.col("text"))).alias("n")).first().n is not None
+    for step in (clean.join_cjk, clean.answer_of, clean.strip_numbering, clean.prompt_line, clean.valid_thinking, clean.preview):
+        df.select(step(F.col("text")).alias("x")).collect()
     assert df.select(T.strip(F.col("text")).alias("t")).first().t == LONG[name].strip()
     assert time.time() - began < 30
 

@@ -40,14 +40,14 @@ OPENING = "（【「『"
 def join_cjk(c: Column) -> Column:
     """Removes the blanks that decoding leaves between CJK characters and around their punctuation."""
     c = F.regexp_replace(c, rf"(?U)(?<=[{CJK}]){WS}+(?=[{CJK}])", "")
-    c = F.regexp_replace(c, rf"(?U){WS}+([{CLOSING}])", "$1")
+    c = F.regexp_replace(c, rf"(?U)(?<!{WS}){WS}++([{CLOSING}])", "$1")
     c = F.regexp_replace(c, rf"(?U)([{OPENING}]){WS}+", "$1")
     return T.strip(F.regexp_replace(c, rf"(?U){WS}{{2,}}", " "))
 
 
 def answer_of(c: Column) -> Column:
     """What follows the last answer mark, without a leading question line."""
-    c = F.regexp_replace(c, rf"(?Us).*答{WS}*[：:]{WS}*", "")
+    c = F.regexp_replace(c, rf"(?Us)\A.*答{WS}*[：:]{WS}*", "")
     return T.strip(F.regexp_replace(c, r"(?d)\A问[：:].*?(?=\n|\z)", ""))
 
 
