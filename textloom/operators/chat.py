@@ -19,7 +19,8 @@ def render(messages: Column, prompt: bool = False) -> Column:
 
 
 def conversations(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """A row for each conversation with its turns in order as ``messages``."""
+    """A row for each conversation with its turns in order as ``messages``; dealt by key to as many tasks as shuffles have, since long expressions follow."""
+    turns = turns.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
     return turns.groupBy(key).agg(F.transform(ordered, lambda m: F.struct(m.role.alias("role"), m.content.alias("content"))).alias("messages"))
 

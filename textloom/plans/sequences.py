@@ -89,7 +89,7 @@ string_agg(CASE WHEN role = 'assistant' THEN repeat('0', 22) || repeat('1', leng
 
 @query(f"""SELECT conv_id, CAST(length(r) AS BIGINT) AS n_ids, CAST(length(replace(m, '0', '')) AS BIGINT) AS n_learned, md5(m) AS mask FROM ({_MARKED})""")
 def assistant_mask(spark, sf_dir):
-    ids = spread(conversations(spark, sf_dir)).select("conv_id", T.held(tokens.code_points(chat.render(F.col("messages")))).alias("ids"))
+    ids = conversations(spark, sf_dir).select("conv_id", T.held(tokens.code_points(chat.render(F.col("messages")))).alias("ids"))
     mask = ids.select("conv_id", "ids", T.held(chat.assistant_mask(F.col("ids"))).alias("mask"))
     learned = F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long")
     return mask.select("conv_id", F.size("ids").cast("long").alias("n_ids"), learned.alias("n_learned"), F.md5(F.array_join(F.transform("mask", lambda x: x.cast("string")), "")).alias("mask"))
@@ -103,7 +103,7 @@ SELECT conv_id, md5(array_to_string(list_transform(range(1, 1025), lambda i: CAS
 md5(array_to_string(list_transform(range(1, 1025), lambda i: CASE WHEN i <= len(r) AND m[i] = '1' THEN unicode(r[i]) + 16 ELSE -100 END), ',')) AS labels FROM c""")
 def sft_examples(spark, sf_dir):
     """Rendered conversations cut and padded to 1024 ids, and the labels of the ids that are learned."""
-    rows = chat.sft_example(spread(conversations(spark, sf_dir)), "messages", 1024)
+    rows = chat.sft_example(conversations(spark, sf_dir), "messages", 1024)
     return rows.select("conv_id", joined(F.col("input_ids")).alias("ids"), joined(F.col("labels")).alias("labels"))
 
 
@@ -141,7 +141,7 @@ def dpo_pairs(spark, sf_dir):
     prefix = F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")))
     none = F.expr("cast(null as array<struct<role: string, content: string>>)")
     chosen, rejected = chat.sides_of(prefix, F.col("chosen"), F.col("rejected"), none, none)
-    rows = spread(pairs).select("conv_id", T.held(chat.render(chosen)).alias("chosen"), T.held(chat.render(rejected)).alias("rejected"))
+    rows = pairs.select("conv_id", T.held(chat.render(chosen)).alias("chosen"), T.held(chat.render(rejected)).alias("rejected"))
     out = [F.col("conv_id"), F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected")]
     for name in ("chosen", "rejected"):
         rows = rows.withColumn(f"{name}_ids", tokens.code_points(F.col(name))).select("*", T.held(chat.assistant_mask(F.col(f"{name}_ids"))).alias(f"{name}_m"))

@@ -20,9 +20,12 @@ def literal(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the scan has fewer partitions than cores; a larger scan stays as it is, without a shuffle."""
+    """Rows over all cores where a scan has fewer partitions than cores; a larger scan, or a plan with shuffles of its own, stays as it is."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # asking it for its partitions would run its shuffles
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
