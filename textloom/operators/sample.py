@@ -41,15 +41,19 @@ def prefix_sum(df: DataFrame, order: str, value: str, out: str, tie: list[str] |
 
 
 def number_within(df: DataFrame, key: str, order: Column, out: str) -> DataFrame:
-    """Adds the row number within ``key`` by ``order``, from 1. A key with most of the rows is dealt to many ranges, like the order itself."""
-    ranged = ranges(df.withColumn("__order", order), key, "__order")
-    totals = ranged.groupBy(F.col(key).alias("__key"), F.col("__range").alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # each range holds a run of keys, so these are ranges plus keys
-    before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).where("__before > 0").drop("__n")
-    place = F.row_number().over(Window.partitionBy(key, "__range").orderBy("__order"))
-    numbered = ranged.withColumn("__own", place)
-    met = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__part"))
-    return numbered.join(offsets, met, "left").withColumn(out, F.col("__own") + F.coalesce("__before", F.lit(0))).drop("__order", "__range", "__own", "__key", "__part", "__before")
+    """Adds the row number within ``key`` by ``order``, from 1. A key with most of the rows is dealt to many ranges, like the order itself.
+
+    The rows are written once; only key, order and a number of the row are ranged, and meet the rows by that number.
+    """
+    rows = tables.keep(df.select("*", order.alias("__order"), F.monotonically_increasing_id().alias("__row")), "rows")
+    ranged = ranges(rows.select("__row", F.col(key).alias("__key"), "__order"), "__key", "__order", "__row", written=True)
+    totals = ranged.groupBy("__key", "__range").agg(F.count(F.lit(1)).alias("__n"))  # each range holds a run of keys, so these are ranges plus keys
+    before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("__key").alias("__k"), F.col("__range").alias("__part"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")).where("__before > 0")
+    place = F.row_number().over(Window.partitionBy("__key", "__range").orderBy("__order", "__row"))
+    met = F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__range") == F.col("__part"))
+    numbered = ranged.withColumn("__own", place).join(offsets, met, "left").select("__row", (F.col("__own") + F.coalesce("__before", F.lit(0))).alias(out))
+    return rows.join(numbered, "__row").drop("__row", "__order")
 
 
 def number_rows(df: DataFrame, order: str, out: str) -> DataFrame:
