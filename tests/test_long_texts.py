@@ -1,5 +1,6 @@
 """Texts of a million characters that patterns could trip over, repeated rows, and prefix sums with ties."""
 
+import random
 import re
 import time
 
@@ -116,3 +117,36 @@ def test_masks_of_long_conversations(spark):
             at = len(t) if b < 0 else b + len(end)
             want[a + len(begin) : at] = [1] * (at - a - len(begin))
         assert got[t] == want, t
+
+
+def exchanged(plan):
+    """Types of the columns that the exchanges of a plan carry."""
+    plan = plan.initialPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    own = [f.dataType().simpleString() for f in plan.schema().fields()] if plan.nodeName() == "Exchange" else []
+    return own + [t for i in range(plan.children().size()) for t in exchanged(plan.children().apply(i))]
+
+
+@pytest.mark.parametrize("name", ["pack_sequences", "pack_first"])
+def test_packing_sends_texts_and_not_ids(spark, name, monkeypatch):
+    from textloom.sources import tables
+
+    kept, keep = [], tables.keep
+    monkeypatch.setattr(tables, "keep", lambda df, name: kept.extend(f.dataType.simpleString() for f in df.schema.fields) or keep(df, name))
+    types = exchanged(registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan())
+    assert types and not [t for t in types + kept if t.startswith("array")]
+
+
+def test_pack_by_texts(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "SEGMENT", 5)
+    monkeypatch.setattr(tokens, "BLOCK", 16)
+    rng = random.Random(5)
+    rows = [(i // 2, "".join(rng.choice("ab\né😀") for _ in range(rng.choice([0, 1, 4, 5, 6, 10, 61])))) for i in range(41)] + [(7, None), (99, "x" * 500)]
+    df = spark.createDataFrame(rows, "d long, t string").coalesce(1)
+    whole = [x for _, t in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]) for x in [1, *(ord(c) + 16 for c in t), 2]]
+    ids, size = tokens.segment_ids("t")
+    for length in (1, 7, 40):
+        want = [whole[i : i + length] for i in range(0, len(whole) - length + 1, length)]
+        for most in (None, 5):
+            got = tokens.pack(tokens.text_segments(df, "t"), "d", ids, length, size, most).orderBy("chunk").collect()
+            assert [(r.chunk, r.input_ids) for r in got] == list(enumerate(want))[:most]
+            assert all(r.labels == [-100 if x == 1 and i else x for i, x in enumerate(r.input_ids)] for r in got)

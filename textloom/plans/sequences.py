@@ -23,8 +23,15 @@ def wrapped(spark, sf_dir, length: int):
     return docs.select("doc_id", T.held(tokens.wrapped(tokens.code_points(F.col("t")), length)).alias("ids"))
 
 
+def packed(spark, sf_dir, most: int | None = None):
+    """Documents of 50 characters or more packed to sequences; they travel as texts."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.held(T.strip(F.col("text"))).alias("t")).where(F.length("t") >= 50)
+    ids, size = tokens.segment_ids("t")
+    return tokens.pack(tokens.text_segments(docs, "t"), "doc_id", ids, LENGTH, size, most)
+
+
 def joined(c):
-    return F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+    return F.md5(F.array_join(c.cast("array<string>"), ","))
 
 
 _PACKED = f"""WITH w AS ({_wrapped_sql(1 << 30)}), s AS (SELECT *, sum(len(ids)) OVER (ORDER BY doc_id) - len(ids) AS begin FROM w),
@@ -35,15 +42,15 @@ c AS (SELECT CAST(g // {LENGTH} AS BIGINT) AS chunk, CAST(g % {LENGTH} AS BIGINT
 @query(f"""{_PACKED} SELECT chunk, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY o)) AS ids,
 md5(string_agg(CASE WHEN o > 0 AND id = 1 THEN '-100' ELSE CAST(id AS VARCHAR) END, ',' ORDER BY o)) AS labels FROM c GROUP BY 1 HAVING count(*) = {LENGTH}""")
 def pack_sequences(spark, sf_dir):
-    packed = tokens.pack(wrapped(spark, sf_dir, 1 << 30), "doc_id", "ids", LENGTH)
-    return packed.select("chunk", joined(F.col("input_ids")).alias("ids"), joined(F.col("labels")).alias("labels"))
+    out = packed(spark, sf_dir).select("chunk", "input_ids", "labels", T.held(joined(F.col("input_ids"))).alias("ids"))
+    # most sequences lie within one document, and their labels are their ids
+    return out.select("chunk", "ids", F.when(F.col("labels") == F.col("input_ids"), F.col("ids")).otherwise(joined(F.col("labels"))).alias("labels"))
 
 
 @query(f"""{_PACKED} SELECT chunk, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY o)) AS ids FROM c GROUP BY 1 HAVING count(*) = {LENGTH} ORDER BY chunk LIMIT 5""")
 def pack_first(spark, sf_dir):
     """The first five sequences, as the cap on emitted samples leaves them."""
-    packed = tokens.pack(wrapped(spark, sf_dir, 1 << 30), "doc_id", "ids", LENGTH)
-    return tokens.first_sequences(packed, "chunk", 5).select("chunk", joined(F.col("input_ids")).alias("ids"))
+    return tokens.first_sequences(packed(spark, sf_dir), "chunk", 5).select("chunk", joined(F.col("input_ids")).alias("ids"))
 
 
 _PAD = "array_to_string(list_concat({0}, list_transform(range(0, greatest({1} - len(ids), 0)), lambda x: {2})), ',')"
