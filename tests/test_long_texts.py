@@ -150,3 +150,17 @@ def test_pack_by_texts(spark, monkeypatch):
             got = tokens.pack(tokens.text_segments(df, "t"), "d", ids, length, size, most).orderBy("chunk").collect()
             assert [(r.chunk, r.input_ids) for r in got] == list(enumerate(want))[:most]
             assert all(r.labels == [-100 if x == 1 and i else x for i, x in enumerate(r.input_ids)] for r in got)
+
+
+def test_first_sequences_put_no_others_together(spark):
+    """All rows are sized, but only those of the first chunks reach the ids."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def own(t):
+        seen.add(1)
+        return [ord(c) for c in t]
+
+    df = spark.createDataFrame([(i, f"{i:04}") for i in range(2000)], "d long, t string")
+    got = tokens.pack(df, "d", own("t"), 8, F.length("t"), 2).orderBy("chunk").collect()
+    assert ["".join(map(chr, r.input_ids)) for r in got] == ["00000001", "00020003"] and seen.value == 4

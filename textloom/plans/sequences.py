@@ -50,7 +50,7 @@ def pack_sequences(spark, sf_dir):
 @query(f"""{_PACKED} SELECT chunk, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY o)) AS ids FROM c GROUP BY 1 HAVING count(*) = {LENGTH} ORDER BY chunk LIMIT 5""")
 def pack_first(spark, sf_dir):
     """The first five sequences, as the cap on emitted samples leaves them."""
-    return tokens.first_sequences(packed(spark, sf_dir), "chunk", 5).select("chunk", joined(F.col("input_ids")).alias("ids"))
+    return tokens.first_sequences(packed(spark, sf_dir, 5), "chunk", 5).select("chunk", joined(F.col("input_ids")).alias("ids"))
 
 
 _PAD = "array_to_string(list_concat({0}, list_transform(range(0, greatest({1} - len(ids), 0)), lambda x: {2})), ',')"
