@@ -103,3 +103,23 @@ def test_callbacks_of_a_stream(spark, tmp_path):
     finally:
         off()
     assert ends == [None] and sum(x["rows"] for x in logs) == 30 and sum(x["passed"] for x in logs) == 20
+
+
+def test_stream_packing_of_long_and_null_documents(spark, tmp_path):
+    import time
+
+    from textloom.operators import tokens
+
+    n = 1_000_000
+    texts = {0: ["é😀" * (n // 2), None, "", "b" * 37], 1: [None, "ab"], 2: ["x" * 16]}
+    spark.createDataFrame([(k, t) for k, own in texts.items() for t in own], "shard long, text string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = cleanse.read(spark, f"{tmp_path}/in", "shard long, text string")
+    for name, packed in {"texts": cleanse.packed(stream, "shard", 16, tokens.code_point_encoder()), "ids": cleanse.packed(stream.select("shard", tokens.code_points(F.col("text")).alias("ids")), "shard", 16)}.items():
+        began = time.time()
+        cleanse.drain(packed, f"{tmp_path}/{name}", f"{tmp_path}/{name}-state")
+        assert time.time() - began < 30  # each chunk once copied all that was left of its document
+        rows = spark.read.parquet(f"{tmp_path}/{name}").orderBy("shard", "chunk").collect()
+        for k, own in texts.items():
+            whole = [ord(c) + 16 for t in own for c in t or ""]
+            assert [(r.chunk, r.input_ids) for r in rows if r.shard == k] == [(i, whole[16 * i : 16 * i + 16]) for i in range(len(whole) // 16)]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"

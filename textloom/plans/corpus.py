@@ -556,8 +556,8 @@ def stream_pack(spark, sf_dir):
     at = work_path(spark, "stream-pack")
     for _ in range(2):
         stream = mirror.dataset(spark, sf_dir, "documents", docs.schema, streaming=True)
-        ids = stream.select((F.col("doc_id") % 4).alias("shard"), tokens.code_points(F.col("text")).alias("ids"))
-        cleanse.drain(cleanse.packed(ids, "shard", 512), f"{at}/out", f"{at}/state")
+        texts = stream.select((F.col("doc_id") % 4).alias("shard"), "text")
+        cleanse.drain(cleanse.packed(texts, "shard", 512, tokens.code_point_encoder()), f"{at}/out", f"{at}/state")
     return spark.read.schema("shard long, chunk long, input_ids array<int>").parquet(f"{at}/out").groupBy("shard").agg(F.count_distinct("chunk").alias("chunks"), F.sum(F.size("input_ids")).alias("ids"))
 
 
